@@ -118,11 +118,10 @@ _CSV = T.StructType([
 ])
 
 
-@query("SELECT revision_id, wiki_db, md5(revision_text) AS digest FROM pairs WHERE length(trim(revision_text)) > 0")
+@query("SELECT revision_id, wiki_db, md5(revision_text) AS digest FROM pairs")
 def read_csv_dataset(t: Tables):
     path = work_path(t.spark, "texts")
-    rows = t.pairs.select(ID, WIKI, F.col("revision_text").alias("text")).where(F.length(F.trim("text")) > 0)
-    files.write_csv(rows, path)
+    files.write_csv(t.pairs.select(ID, WIKI, F.col("revision_text").alias("text")), path)
     read = files.read_csv_dataset(t.spark, path, _CSV)
     return read.select(ID, WIKI, F.md5("text").alias("digest"))
 

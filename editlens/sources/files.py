@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from editlens import schema as S
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+CSV_WRITE_OPTIONS = {
+    "header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (S.WIKI,)) -> None:
@@ -52,8 +55,8 @@ def read_many_union(
 
 
 def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Writes CSV with header, many files, no index."""
-    writer = df.write.mode("overwrite").options(header="true", quote='"', escape='"')
+    """Writes CSV with header, many files, no index; blanks at the ends of texts are kept."""
+    writer = df.write.mode("overwrite").options(**CSV_WRITE_OPTIONS)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
