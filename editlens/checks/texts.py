@@ -96,8 +96,8 @@ lcs(a, b, i, row) AS (
 r AS (SELECT a, b, CAST(round_even(200 * row[length(b) + 1] / CAST(length(a) + length(b) AS DOUBLE), 0) AS INT) AS ratio
   FROM lcs WHERE i = length(a))
 SELECT e.event_id, r.ratio, CASE WHEN r.ratio > 60 THEN r.ratio END AS similar FROM events e JOIN r
-ON r.a = e.event_type AND r.b = concat('user', e.user_id % 40, ' ', e.event_type, ' ', e.user_id % 7)""")
-def similarity_ratio_rows(t: Tables):
+ON r.a = e.event_type AND r.b = concat('user', e.user_id % 40, ' ', e.event_type, ' ', e.user_id % 7)""", name="similarity_ratio")
+def _similarity_ratio(t: Tables):
     a = F.col("event_type")
     b = F.concat(F.lit("user"), F.col("user_id") % 40, F.lit(" "), a, F.lit(" "), F.col("user_id") % 7)
     pairs = t.table("events").select("event_id", a.alias("a"), b.alias("b"))
@@ -186,7 +186,7 @@ def extract_categories(t: Tables):
     return found.select(ID, WIKI, F.size("names").alias("categories"), F.array_join("names", "|").alias("names"))
 
 
-@query("""SELECT revision_id, wiki_db, CASE WHEN revision_text <> parent_text THEN 1 ELSE 0 END AS differs FROM pairs""")
+@query(f"""WITH {_DELTAS} SELECT revision_id, wiki_db, CASE WHEN revision_id IN (SELECT revision_id FROM d) THEN 1 ELSE 0 END AS differs FROM pairs""")
 def diff_failure_default(t: Tables):
     lines = diff.line_set_diff(t.pairs).groupBy(*S.KEYS).agg(F.collect_list("line").alias("texts_insert"))
     diffs = lines.select(
