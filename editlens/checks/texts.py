@@ -124,28 +124,31 @@ def collect_node_texts(t: Tables):
     return rows.select(ID, "node_type", "action", F.size("texts").cast("long").alias("row_count"), letters.alias("letters"))
 
 
-def _actions_sql(source: str) -> str:
-    """Element rows (revision_id, side, type, place, value) → change, insert, move, remove per revision and type."""
-    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY revision_id, type, side, value ORDER BY place) AS copy FROM ({source})),
+def _actions_sql(table: str, patterns: dict, group: int) -> str:
+    """Gained, lost and moved elements per revision and type, after cutting the common start and end of both lists."""
+    lists = " UNION ALL ".join(
+        f"""SELECT revision_id, '{kind}' AS type, regexp_extract_all(parent_text, '{pattern.replace("'", "''")}', {group}) AS o,
+        regexp_extract_all(revision_text, '{pattern.replace("'", "''")}', {group}) AS n FROM {table}"""
+        for kind, pattern in patterns.items()
+    )
+    same = "coalesce(list_position(list_transform(list_zip({0}, {1}), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) - 1, greatest(len({0}), len({1})))"
+    return f"""e AS (SELECT *, {same.format('o', 'n')} AS p FROM ({lists}) WHERE len(o) + len(n) > 0),
+f AS (SELECT revision_id, type, list_reverse(o[p + 1:]) AS o, list_reverse(n[p + 1:]) AS n FROM e),
+g AS (SELECT *, {same.format('o', 'n')} AS q FROM f),
+m AS (SELECT revision_id, type, list_reverse(o[q + 1:]) AS o, list_reverse(n[q + 1:]) AS n FROM g),
+x AS (SELECT revision_id, type, 'old' AS side, unnest(o) AS value, generate_subscripts(o, 1) AS place FROM m
+UNION ALL SELECT revision_id, type, 'new', unnest(n), generate_subscripts(n, 1) FROM m),
+o AS (SELECT *, row_number() OVER (PARTITION BY revision_id, type, side, value ORDER BY place) AS copy FROM x),
 c AS (SELECT revision_id, type, value, copy, max(place) FILTER (WHERE side = 'old') AS old, max(place) FILTER (WHERE side = 'new') AS new
   FROM o GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY revision_id, type, old IS NOT NULL AND new IS NOT NULL ORDER BY old) AS ro,
   row_number() OVER (PARTITION BY revision_id, type, old IS NOT NULL AND new IS NOT NULL ORDER BY new) AS rn FROM c),
-a AS (SELECT revision_id, type, count(*) FILTER (WHERE old IS NULL) AS gained, count(*) FILTER (WHERE new IS NULL) AS lost,
-  count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL AND ro <> rn) AS move FROM k GROUP BY ALL)"""
-
-
-def _side(table: str, column: str, side: str, patterns: dict, group: int) -> list[str]:
-    return [
-        f"""SELECT revision_id, '{side}' AS side, '{kind}' AS type, unnest(v) AS value, generate_subscripts(v, 1) AS place
-        FROM (SELECT revision_id, regexp_extract_all({column}, '{pattern.replace("'", "''")}', {group}) AS v FROM {table})"""
-        for kind, pattern in patterns.items()
-    ]
+s AS (SELECT revision_id, type, count(*) FILTER (WHERE old IS NULL) AS gained, count(*) FILTER (WHERE new IS NULL) AS lost,
+  count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL AND ro <> rn) AS move FROM k GROUP BY ALL),
+a AS (SELECT revision_id, type, coalesce(gained, 0) AS gained, coalesce(lost, 0) AS lost, coalesce(move, 0) AS move
+  FROM m LEFT JOIN s USING (revision_id, type))"""
 
 
-_TEXT_SIDES = " UNION ALL ".join(
-    _side("ch", "parent_text", "old", elements.WIKITEXT_PATTERNS, 0) + _side("ch", "revision_text", "new", elements.WIKITEXT_PATTERNS, 0)
-)
 _ACTION_COLUMNS = ", ".join(
     f"""coalesce(max({expr}) FILTER (WHERE type = '{kind}'), 0)::INT AS "{action}_{kind}" """
     for kind in S.CONTENT_TYPES
@@ -154,7 +157,7 @@ _ACTION_COLUMNS = ", ".join(
 )
 
 
-@query(f"""WITH ch AS MATERIALIZED (SELECT * FROM pairs WHERE revision_text <> parent_text), {_actions_sql(_TEXT_SIDES)}
+@query(f"""WITH ch AS MATERIALIZED (SELECT * FROM pairs WHERE revision_text <> parent_text), {_actions_sql('ch', elements.WIKITEXT_PATTERNS, 0)}
 SELECT revision_id, {_ACTION_COLUMNS} FROM a GROUP BY revision_id""")
 def edit_action_counts(t: Tables):
     from editlens.operators.revisions import expand_actions
@@ -162,13 +165,8 @@ def edit_action_counts(t: Tables):
     return expand_actions(elements.edit_action_counts(t.pairs)).drop("actions", WIKI)
 
 
-_PAGE_SIDES = " UNION ALL ".join(
-    _side("pp", "parent_text", "old", HTML_PATTERNS, 1) + _side("pp", "revision_text", "new", HTML_PATTERNS, 1)
-)
-
-
 @query(f"""WITH pp AS MATERIALIZED (SELECT p.page_id AS revision_id, p.html AS revision_text, q.html AS parent_text
-  FROM pages p JOIN pages q ON p.page_id = q.page_id + 1 WHERE p.html <> q.html), {_actions_sql(_PAGE_SIDES)}
+  FROM pages p JOIN pages q ON p.page_id = q.page_id + 1 WHERE p.html <> q.html), {_actions_sql('pp', HTML_PATTERNS, 1)}
 SELECT revision_id, type, least(gained, lost) AS change, gained - least(gained, lost) AS insert, move, lost - least(gained, lost) AS remove FROM a""")
 def element_actions(t: Tables):
     return elements.element_actions(t.page_pairs, HTML_PATTERNS, [ID], group=1)

@@ -35,7 +35,15 @@ def language_code(wiki: Column) -> Column:
 
 
 def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one bit per character of `a`."""
+    """Length of the longest common subsequence: common start and end, then one bit per character of `a` between."""
+    shorter = min(len(a), len(b))
+    start = 0
+    while start < shorter and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < shorter - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | (1 << i)
@@ -44,7 +52,7 @@ def common_length(a: str, b: str) -> int:
     for c in b:
         hit = row & places.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return start + end + len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> int:

@@ -15,6 +15,7 @@ from editlens.operators.aggregates import class_weights
 from editlens.operators.revisions import fill_missing_features
 from editlens.operators.sampling import split_by_day, split_stratified
 from editlens.operators.slices import eval_metric_set
+from editlens.session import materialize
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,7 @@ def _weighted(df: DataFrame, label: str, balance: bool) -> DataFrame:
     if not balance:
         return df.withColumn("__weight", F.lit(1.0))
     weight = F.lit(1.0)
-    for row in class_weights(df, label).collect():
+    for row in class_weights(df, label).collect():  # one row per class
         weight = F.when(F.col(label) == row[label], row["weight"]).otherwise(weight)
     return df.withColumn("__weight", weight)
 
@@ -77,13 +78,19 @@ def train_classifier(
     settings: TrainingSettings = TrainingSettings(),
     part: str | None = None,
 ) -> PipelineModel:
-    """Fits class-weighted boosted trees; a stratified hold-out (or the rows with `part` = test) decides when to stop."""
-    rows = df.where(F.col(label).isNotNull())
-    if part is None:
-        rows, part = split_stratified(rows, settings.test_share, label, settings.keys, settings.seed), "part"
-    used = fill_missing_features(rows, features).select(
-        *features, F.col(label).cast("int").alias("__label"), (F.col(part) == "test").alias("__held_out")
+    """Fits class-weighted boosted trees; a stratified hold-out (or the rows with `part` = test) decides when to stop.
+
+    Training passes over its rows many times, so they are written once, evenly spread, and read from there.
+    """
+    names = [f"`{c}`" for c in features]
+    keys = [c for c in settings.keys if c not in features]
+    wanted = df.where(F.col(label).isNotNull()).select(
+        *names, *keys, F.col(label).cast("int").alias("__label"), *([F.col(part).alias("part")] if part else [])
     )
+    rows = materialize(fill_missing_features(wanted, features).repartition(*settings.keys), "training")
+    if part is None:
+        rows = split_stratified(rows, settings.test_share, "__label", settings.keys, settings.seed)
+    used = rows.select(*names, "__label", (F.col("part") == "test").alias("__held_out"))
     weighted = _weighted(used, "__label", settings.balance_classes)
     trees = GBTClassifier(
         labelCol="__label", featuresCol="features", weightCol="__weight", validationIndicatorCol="__held_out",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from editlens import schema as S
 from editlens.operators.metrics import binary_metrics, rmse
 from editlens.operators.sampling import split_random, split_stratified
+from editlens.session import materialize
 
 WORD_GAPS = r"[^\p{L}\p{N}]+"
 
@@ -33,7 +34,10 @@ def _prepared(df: DataFrame, columns: list[str]) -> DataFrame:
 def train_text_scorer(
     rows: DataFrame, pair: bool = False, regression: bool = False, width: int = 1 << 18, rounds: int = 20,
 ) -> PipelineModel:
-    """Fits one text model. Input columns: `text` (and `text_pair`), `label`. Regression for titles."""
+    """Fits one text model. Input columns: `text` (and `text_pair`), `label`. Regression for titles.
+
+    Training passes over its rows many times, so they are written once, evenly spread, and read from there.
+    """
     columns = ["text", "text_pair"] if pair else ["text"]
     stages = [s for c in columns for s in _word_stages(c, width)]
     stages.append(VectorAssembler(inputCols=[f"__v_{c}" for c in columns], outputCol="features"))
@@ -41,7 +45,8 @@ def train_text_scorer(
         stages.append(LinearRegression(labelCol="label", maxIter=rounds, regParam=0.1))
     else:
         stages.append(LogisticRegression(labelCol="label", maxIter=rounds, regParam=0.01))
-    return Pipeline(stages=stages).fit(_prepared(rows, columns))
+    spread = _prepared(rows, columns).select(*columns, "label").repartition(*columns)
+    return Pipeline(stages=stages).fit(materialize(spread, "texts"))
 
 
 def score_texts(model: PipelineModel, fragments: DataFrame, pair: bool = False) -> DataFrame:

@@ -22,15 +22,19 @@ CURRENT_TEXT = "revision_text"
 
 def line_set_diff(
     df: DataFrame, keys: Sequence[str] = S.KEYS, parent: str = PARENT_TEXT, current: str = CURRENT_TEXT,
-    drop_empty: bool = False,
+    drop_empty: bool = False, partitions: int | None = None,
 ) -> DataFrame:
-    """Lines whose number of copies differs: `delta` > 0 for lines gained, < 0 for lines lost."""
+    """Lines whose number of copies differs: `delta` > 0 for lines gained, < 0 for lines lost.
+
+    `partitions` fixes the number of tasks, for jobs whose later steps cost more than their bytes tell.
+    """
     changed = df.where(~F.col(parent).eqNullSafe(F.col(current))).select(*keys, parent, current)
     side = lambda text, weight: F.transform(
         split_lines(F.coalesce(F.col(text), F.lit(""))),
         lambda line: F.struct(line.alias("line"), F.lit(weight).alias("__w")),
     )
-    lines = changed.repartition(*keys).select(*keys, F.inline(F.concat(side(current, 1), side(parent, -1))))
+    hashed = changed.repartition(partitions, *keys) if partitions else changed.repartition(*keys)
+    lines = hashed.select(*keys, F.inline(F.concat(side(current, 1), side(parent, -1))))
     if drop_empty:
         lines = lines.where(F.length("line") > 0)
     return lines.groupBy(*keys, "line").agg(F.sum("__w").alias("delta")).where(F.col("delta") != 0)
@@ -121,13 +125,13 @@ def match_changed_sentences(deleted: Column, added: Column, threshold: int = S.S
 
 def diff_lines(
     df: DataFrame, keys: Sequence[str] = S.KEYS, parent: str = PARENT_TEXT, current: str = CURRENT_TEXT,
-    threshold: int = S.SIMILARITY_THRESHOLD, drop_empty: bool = False,
+    threshold: int = S.SIMILARITY_THRESHOLD, drop_empty: bool = False, partitions: int | None = None,
 ) -> DataFrame:
     """Per revision with a text difference: inserted and removed sentences, and changed pairs.
 
     Sentences that are equal on both sides cancel first, so that moved lines are no difference.
     """
-    sets = sentence_sets(line_set_diff(df, keys, parent, current, drop_empty), keys)
+    sets = sentence_sets(line_set_diff(df, keys, parent, current, drop_empty, partitions), keys)
     paired = sets.withColumn("texts_change", match_changed_sentences(F.col("deleted"), F.col("added"), threshold))
     return paired.select(
         *keys,

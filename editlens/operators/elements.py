@@ -1,13 +1,14 @@
 """Counts of edit actions per content type, from markup elements found by patterns.
 
-The elements of a type are the matches of its pattern, in order of place. Against the parent a copy is gained, lost or
-kept; min(gained, lost) of a type count as changed, the rest as inserted or removed, and kept copies whose rank among
-the kept ones differs as moved. This looks at elements only, not at a syntax tree.
+The elements of a type are the matches of its pattern, in order of place. The start and the end the two element lists
+have in common are kept in place. In between, the i-th copy of a value in the old text meets the i-th in the new one;
+copies are gained, lost or kept. min(gained, lost) of a type count as changed, the rest as inserted or removed, and kept
+copies whose rank among the kept ones differs as moved. This looks at elements only, not at a syntax tree.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlens import schema as S
@@ -59,40 +60,73 @@ def extract_elements(
     return df.select(*keys, F.inline(_matches(F.col(text), "own", patterns, group))).drop("side")
 
 
+def _first_difference(old: Column, new: Column) -> Column:
+    """Place (from 1) where two arrays first differ, 0 if they do not."""
+    same = F.zip_with(old, new, lambda a, b: a.eqNullSafe(b))
+    return F.when(old == new, 0).otherwise(F.array_position(same, F.lit(False)).cast("int"))
+
+
+def _rest(array: Column, first: Column) -> Column:
+    """What is left of an array from its first difference on."""
+    return F.when(first == 0, F.slice(array, 1, 0)).otherwise(F.slice(array, F.greatest(first, F.lit(1)), F.size(array)))
+
+
+def _differing_middle(df: DataFrame, old: str, new: str) -> DataFrame:
+    """Cuts the common start and the common end off two array columns, so that later work grows with the edit."""
+    for _ in range(2):  # the second pass sees reversed arrays and turns them back
+        first = _first_difference(F.col(old), F.col(new)).alias("__first")
+        df = df.select("*", first).withColumns({c: F.reverse(_rest(F.col(c), F.col("__first"))) for c in (old, new)})
+        df = df.drop("__first")
+    return df
+
+
 def element_actions(
     df: DataFrame, patterns: dict[str, str] = WIKITEXT_PATTERNS, keys: Sequence[str] = S.KEYS,
     parent: str = PARENT_TEXT, current: str = CURRENT_TEXT, group: int = 0,
 ) -> DataFrame:
     """Rows (keys, type, change, insert, move, remove) for types with any element in a text that differs.
 
-    The texts are hashed to their revision once; all windows and counts below share that partitioning.
+    The texts are hashed to their revision once; the groupings below are finer than that and need no shuffle.
+    Sorted by old place, a kept copy has moved if its new place is not the one at the same rank of the new places.
     """
     keys = list(keys)
     changed = df.where(~F.col(parent).eqNullSafe(F.col(current))).select(*keys, parent, current).repartition(*keys)
-    found = F.concat(
-        _matches(F.coalesce(F.col(parent), F.lit("")), "old", patterns, group),
-        _matches(F.coalesce(F.col(current), F.lit("")), "new", patterns, group),
+    texts = {"__old": F.coalesce(F.col(parent), F.lit("")), "__new": F.coalesce(F.col(current), F.lit(""))}
+    kinds = F.array(*[
+        F.struct(
+            F.lit(kind).alias("type"),
+            *[F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias(n) for n, text in texts.items()],
+        )
+        for kind, pattern in patterns.items()
+    ])
+    per_type = changed.select(*keys, F.inline(kinds)).where((F.size("__old") > 0) | (F.size("__new") > 0))
+    rest = _differing_middle(per_type, "__old", "__new")
+    placed = lambda side, is_new: F.transform(
+        side, lambda v, i: F.struct(v.alias("value"), i.alias("place"), F.lit(is_new).alias("is_new"))
+    )
+    # The null entry keeps types whose elements are all in common.
+    entries = F.concat(placed(F.col("__old"), False), placed(F.col("__new"), True))
+    elements = rest.select(*keys, "type", F.inline_outer(entries))
+    places = elements.groupBy(*keys, "type", "value").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("is_new"), F.col("place")))).alias("__old"),
+        F.array_sort(F.collect_list(F.when(F.col("is_new"), F.col("place")))).alias("__new"),
     )
-    elements = changed.select(*keys, F.inline(found))
-    copy = F.row_number().over(Window.partitionBy(*keys, "type", "side", "value").orderBy("place"))
-    copies = elements.withColumn("__copy", copy).groupBy(*keys, "type", "value", "__copy").agg(
-        F.max(F.when(F.col("side") == "old", F.col("place"))).alias("__old"),
-        F.max(F.when(F.col("side") == "new", F.col("place"))).alias("__new"),
+    both = F.least(F.size("__old"), F.size("__new"))
+    met = F.zip_with(
+        F.slice("__old", F.lit(1), both), F.slice("__new", F.lit(1), both),
+        lambda a, b: F.struct(a.alias("old"), b.alias("new")),
     )
-    kept = F.col("__old").isNotNull() & F.col("__new").isNotNull()
-    among = Window.partitionBy(*keys, "type", "__kept")
-    ranked = copies.withColumn("__kept", kept).withColumns({
-        "__ro": F.row_number().over(among.orderBy("__old")), "__rn": F.row_number().over(among.orderBy("__new")),
-    })
-    sums = ranked.groupBy(*keys, "type").agg(
-        F.count_if(F.col("__old").isNull()).alias("__gained"),
-        F.count_if(F.col("__new").isNull()).alias("__lost"),
-        F.count_if(F.col("__kept") & (F.col("__ro") != F.col("__rn"))).alias("move"),
+    sums = places.groupBy(*keys, "type").agg(
+        F.sum(F.size("__new") - both).alias("__gained"),
+        F.sum(F.size("__old") - both).alias("__lost"),
+        F.array_sort(F.flatten(F.collect_list(met))).alias("__met"),
     )
-    both = F.least("__gained", "__lost")
+    new_places = F.col("__met.new")
+    moved = F.size(F.filter(F.zip_with(new_places, F.array_sort(new_places), lambda a, b: a != b), lambda x: x))
+    changes = F.least("__gained", "__lost")
     return sums.select(
-        *keys, "type", both.alias("change"), (F.col("__gained") - both).alias("insert"), "move",
-        (F.col("__lost") - both).alias("remove"),
+        *keys, "type", changes.alias("change"), (F.col("__gained") - changes).alias("insert"),
+        moved.cast("long").alias("move"), (F.col("__lost") - changes).alias("remove"),
     )
 
 

@@ -5,27 +5,27 @@ a group in one task: count keys per hash prefix, find the prefix where the quota
 The sample itself is then a plain filter `hash <= limit`, with no shuffle of the rows. Keys must be unique per group.
 """
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from editlens import schema as S
-from editlens.functions.hashing import hash_order
+from editlens.functions.hashing import hash_order, hash_uniform
 from editlens.operators.scale import null_safe_join, small_side
 
 PREFIX = 3  # hex digits: 4,096 prefixes per group
 EVERYTHING = "g"  # sorts after every hex digest
-
-Quota = Callable[[DataFrame], DataFrame]
+GROUP_SIZE = "__size"
 
 
 def hash_limits(
-    df: DataFrame, groups: Sequence[str], keys: Sequence[str], quota: Quota, seed: int = S.SEED, prefix: int = PREFIX
+    df: DataFrame, groups: Sequence[str], keys: Sequence[str], quota: Column, seed: int = S.SEED, prefix: int = PREFIX
 ) -> DataFrame:
     """Per group the hash of its last sampled key, `__limit`.
 
-    `quota` turns the frame (groups, group_size) into one that also has `quota`.
+    `quota` is the number of keys to take, an expression of the group columns, GROUP_SIZE, and window sums of `__n`
+    (keys per group and prefix) over a part of the group columns.
     """
     groups = list(groups)
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
@@ -34,31 +34,25 @@ def hash_limits(
 
     counts = hashed.groupBy(*groups, "__prefix").agg(F.count(F.lit(1)).alias("__n"))
     upto = F.sum("__n").over(whole.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    path = counts.withColumns({"__upto": upto, "group_size": F.sum("__n").over(whole)})
-    totals = path.groupBy(*groups).agg(F.max("group_size").alias("group_size"))
-    quotas = quota(totals).select(*groups, F.col("quota").cast("long").alias("quota"))
-    path = _by_group(path, quotas, groups)
+    path = counts.withColumns({"__upto": upto, GROUP_SIZE: F.sum("__n").over(whole)})
+    path = path.withColumn("__quota", quota.cast("long"))
     ends_here = (
-        (F.col("quota") > 0) & (F.col("quota") < F.col("group_size"))
-        & (F.col("__upto") >= F.col("quota")) & (F.col("__upto") - F.col("__n") < F.col("quota"))
+        (F.col("__quota") < F.col(GROUP_SIZE))
+        & (F.col("__upto") >= F.col("__quota")) & (F.col("__upto") - F.col("__n") < F.col("__quota"))
     )
     plan = small_side(path.groupBy(*groups).agg(
-        F.max("quota").alias("quota"),
-        F.max("group_size").alias("group_size"),
+        F.max(F.col("__quota") >= F.col(GROUP_SIZE)).alias("__all"),
         F.max(F.when(ends_here, F.col("__prefix"))).alias("__edge"),
-        F.max(F.when(ends_here, F.col("quota") - F.col("__upto") + F.col("__n"))).alias("__rest"),
+        F.max(F.when(ends_here, F.col("__quota") - F.col("__upto") + F.col("__n"))).alias("__rest"),
     ))
 
     near = _by_group(hashed, plan, groups).where(F.col("__prefix") == F.col("__edge"))
     rank = F.row_number().over(whole.orderBy("__hash"))
     last = near.withColumn("__rank", rank).where(F.col("__rank") == F.col("__rest"))
-    limits = _by_group(plan, last.select(*groups, F.col("__hash").alias("__last")), groups, "left")
-    return limits.select(
-        *groups,
-        F.when(F.col("quota") >= F.col("group_size"), F.lit(EVERYTHING))
-        .when(F.col("quota") <= 0, F.lit(""))
-        .otherwise(F.col("__last")).alias("__limit"),
+    plain = plan.where(F.col("__edge").isNull()).select(
+        *groups, F.when(F.col("__all"), F.lit(EVERYTHING)).otherwise(F.lit("")).alias("__limit")
     )
+    return last.select(*groups, F.col("__hash").alias("__limit")).unionByName(plain)
 
 
 def _by_group(left: DataFrame, right: DataFrame, groups: Sequence[str], how: str = "inner") -> DataFrame:
@@ -76,7 +70,7 @@ def sampled(
     df: DataFrame,
     groups: Sequence[str],
     keys: Sequence[str],
-    quota: Quota,
+    quota: Column,
     seed: int = S.SEED,
     source: DataFrame | None = None,
     prefix: int = PREFIX,
@@ -87,35 +81,29 @@ def sampled(
     return joined, hash_order(*keys, seed=seed) <= F.col("__limit")
 
 
-def _keep(df: DataFrame, groups: Sequence[str], keys: Sequence[str], quota: Quota, seed: int, prefix: int) -> DataFrame:
+def _keep(df: DataFrame, groups: Sequence[str], keys: Sequence[str], quota: Column, seed: int, prefix: int) -> DataFrame:
     joined, chosen = sampled(df, groups, keys, quota, seed, prefix=prefix)
     return joined.where(chosen).drop("__limit")
 
 
-def _class_sizes(totals: DataFrame, scope: Sequence[str], label: str) -> DataFrame:
+def _class_size(scope: Sequence[str], label: str, value: int) -> Column:
+    """Rows of a class within the scope of a group."""
     whole = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
-    size = lambda v: F.coalesce(F.sum(F.when(F.col(label).cast("int") == v, F.col("group_size"))).over(whole), F.lit(0))
-    return totals.withColumn("__n1", size(1)).withColumn("__n0", size(0))
+    size = F.sum(F.when(F.col(label).cast("int") == value, F.col("__n"))).over(whole)
+    return F.coalesce(size, F.lit(0))
 
 
-def _negatives_capped(scope: Sequence[str], label: str) -> Quota:
+def _negatives_capped(scope: Sequence[str], label: str) -> Column:
     """All positives, as many negatives at most; other labels none."""
-    def quota(totals: DataFrame) -> DataFrame:
-        y = F.col(label).cast("int")
-        return _class_sizes(totals, scope, label).withColumn(
-            "quota", F.when(y == 1, F.col("__n1")).when(y == 0, F.least("__n0", "__n1")).otherwise(0)
-        )
-    return quota
+    n1 = _class_size(scope, label, 1)
+    y = F.col(label).cast("int")
+    return F.when(y == 1, n1).when(y == 0, n1).otherwise(0)
 
 
-def _both_capped(scope: Sequence[str], label: str) -> Quota:
+def _both_capped(scope: Sequence[str], label: str) -> Column:
     """The smaller class whole, the larger one cut to its size."""
-    def quota(totals: DataFrame) -> DataFrame:
-        y = F.col(label).cast("int")
-        return _class_sizes(totals, scope, label).withColumn(
-            "quota", F.when(y.isNotNull(), F.least("__n0", "__n1")).otherwise(0)
-        )
-    return quota
+    smaller = F.least(_class_size(scope, label, 0), _class_size(scope, label, 1))
+    return F.when(F.col(label).isNotNull(), smaller).otherwise(0)
 
 
 def sample_cap(
@@ -129,13 +117,11 @@ def sample_cap(
 ) -> DataFrame:
     """At most `max_rows` per group (per wiki). With `exact=False` a row stays with probability max_rows / size."""
     if exact:
-        return _keep(df, groups, keys, lambda t: t.withColumn("quota", F.lit(max_rows)), seed, prefix)
-    from editlens.functions.hashing import hash_uniform
-
-    sizes = small_side(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__size")))
+        return _keep(df, groups, keys, F.lit(max_rows), seed, prefix)
+    sizes = small_side(df.groupBy(*groups).agg(F.count(F.lit(1)).alias(GROUP_SIZE)))
     return null_safe_join(df, sizes, list(groups)).where(
-        hash_uniform(*keys, seed=seed) < F.lit(float(max_rows)) / F.col("__size")
-    ).drop("__size")
+        hash_uniform(*keys, seed=seed) < F.lit(float(max_rows)) / F.col(GROUP_SIZE)
+    ).drop(GROUP_SIZE)
 
 
 def sample_cap_by_class(
@@ -143,11 +129,8 @@ def sample_cap_by_class(
     seed: int = S.SEED, prefix: int = PREFIX,
 ) -> DataFrame:
     """Negatives capped at `max_rows`; positives at the number of capped negatives or their own, whichever is less."""
-    def quota(totals: DataFrame) -> DataFrame:
-        sized = _class_sizes(totals, groups, label)
-        kept = F.least(F.col("__n0"), F.lit(max_rows))
-        y = F.col(label).cast("int")
-        return sized.withColumn("quota", F.when(y == 0, kept).when(y == 1, F.least(F.col("__n1"), kept)).otherwise(0))
+    kept = F.least(_class_size(groups, label, 0), F.lit(max_rows))
+    quota = F.when(F.col(label).isNotNull(), kept).otherwise(0)
     return _keep(df, [*groups, label], keys, quota, seed, prefix)
 
 
@@ -189,7 +172,7 @@ def split_by_title(
 ) -> DataFrame:
     """`is_text_train`: per wiki 1 for ⌊share · n⌋ of the n distinct titles, so all rows of a title are on one side."""
     titles = df.select(S.WIKI, title).distinct()
-    quota = lambda t: t.withColumn("quota", F.floor(F.col("group_size") * F.lit(share)))
+    quota = F.floor(F.col(GROUP_SIZE) * F.lit(share))
     joined, chosen = sampled(df, [S.WIKI], [title], quota, seed, source=titles, prefix=prefix)
     return joined.withColumn("is_text_train", F.coalesce(chosen, F.lit(False)).cast("int")).drop("__limit")
 
@@ -199,7 +182,7 @@ def split_stratified(
     prefix: int = PREFIX,
 ) -> DataFrame:
     """`part`: test for ⌈share · n⌉ rows of each label, train for the rest."""
-    quota = lambda t: t.withColumn("quota", F.ceil(F.col("group_size") * F.lit(test_share)))
+    quota = F.ceil(F.col(GROUP_SIZE) * F.lit(test_share))
     joined, chosen = sampled(df, [label], keys, quota, seed, prefix=prefix)
     return joined.withColumn("part", F.when(chosen, "test").otherwise("train")).drop("__limit")
 
@@ -208,7 +191,7 @@ def split_random(
     df: DataFrame, test_share: float = 0.05, keys: Sequence[str] = S.KEYS, seed: int = S.SEED, prefix: int = PREFIX
 ) -> DataFrame:
     """`part`: test for ⌈share · n⌉ rows, train for the rest."""
-    quota = lambda t: t.withColumn("quota", F.ceil(F.col("group_size") * F.lit(test_share)))
+    quota = F.ceil(F.col(GROUP_SIZE) * F.lit(test_share))
     joined, chosen = sampled(df, [], keys, quota, seed, prefix=prefix)
     return joined.withColumn("part", F.when(chosen, "test").otherwise("train")).drop("__limit")
 
