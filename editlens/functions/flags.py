@@ -23,4 +23,4 @@ def overlaps(array: Column, values: Sequence[str]) -> Column:
 
 def is_true(flag: Column) -> Column:
     """Flag with null read as false."""
-    return F.coalesce(flag, F.lit(False))
+    return F.coalesce(flag.cast("boolean"), F.lit(False))

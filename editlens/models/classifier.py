@@ -101,12 +101,10 @@ def train_classifier(
 
 
 def predict_scores(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Adds `predict_score`, the probability of a revert."""
-    filled = fill_missing_features(df, features)
-    scored = model.transform(filled)
-    return scored.select(
-        *[F.col(f"`{c}`") for c in df.columns], vector_to_array("probability")[1].alias("predict_score")
-    )
+    """Adds `predict_score`, the probability of a revert; all other columns stay as they are."""
+    packed = df.select(F.struct("*").alias("__row"), *[f"`{c}`" for c in features])
+    scored = model.transform(fill_missing_features(packed, features))
+    return scored.select("__row.*", vector_to_array("probability")[1].alias("predict_score"))
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str], top: int = 30) -> DataFrame:

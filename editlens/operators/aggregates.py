@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from editlens import schema as S
@@ -83,9 +83,9 @@ def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def class_weights(df: DataFrame, label: str = S.LABEL) -> DataFrame:
     """Balanced weight per class: rows / (classes · rows of the class)."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("row_count"))
-    summed = counts.agg(F.sum("row_count"), F.count(F.lit(1))).first()
-    rows, classes = summed[0] or 0, summed[1]
-    return counts.withColumn("weight", F.lit(float(rows)) / (F.lit(classes) * F.col("row_count")))
+    classes = Window.partitionBy(F.lit(0))  # one row per class
+    total, kinds = F.sum("row_count").over(classes), F.count(F.lit(1)).over(classes)
+    return counts.withColumn("weight", total.cast("double") / (kinds * F.col("row_count")))
 
 
 def dedup_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlens import schema as S
+from editlens.functions.flags import is_true
 from editlens.functions.hashing import hash_uniform
 from editlens.operators.scale import ROWS_PER_TASK, null_safe_join, running
 
@@ -266,7 +267,7 @@ def text_model_auc(
     df: DataFrame, columns: dict[str, str], label: str = S.LABEL, anonymous: str = S.ANONYMOUS
 ) -> DataFrame:
     """AUC of each text score over the rows that have it, for all users and for anonymous ones."""
-    populations = F.array(F.lit("all"), F.when(F.coalesce(F.col(anonymous), F.lit(False)), F.lit("anonymous")))
+    populations = F.array(F.lit("all"), F.when(is_true(F.col(anonymous)), F.lit("anonymous")))
     entries = F.array(*[
         F.struct(F.lit(n).alias("model"), F.col(c).cast("double").alias("score")) for n, c in columns.items()
     ])
@@ -279,7 +280,7 @@ def text_model_auc(
 
 def baseline_anonymous(df: DataFrame, keys: Sequence[str] = (), label: str = S.LABEL) -> DataFrame:
     """Metrics of the score "is anonymous"."""
-    scored = df.withColumn("score", F.coalesce(F.col(S.ANONYMOUS), F.lit(False)).cast("double"))
+    scored = df.withColumn("score", is_true(F.col(S.ANONYMOUS)).cast("double"))
     return metric_table(scored, keys, label)
 
 

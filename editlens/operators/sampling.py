@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from editlens import schema as S
+from editlens.functions.flags import is_true
 from editlens.functions.hashing import hash_order, hash_uniform
 from editlens.operators.scale import null_safe_join, small_side
 
@@ -150,7 +151,7 @@ def balance_per_language(df: DataFrame, label: str = S.LABEL, seed: int = S.SEED
 
 def balance_two_sided(df: DataFrame, label: str = S.LABEL, seed: int = S.SEED, prefix: int = PREFIX) -> DataFrame:
     """Anonymous edits only; per wiki the larger class is cut to the size of the smaller."""
-    anonymous = df.where(F.coalesce(F.col(S.ANONYMOUS), F.lit(False)))
+    anonymous = df.where(is_true(F.col(S.ANONYMOUS)))
     return _keep(anonymous, [S.WIKI, label], [S.ID], _both_capped([S.WIKI], label), seed, prefix)
 
 

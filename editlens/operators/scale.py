@@ -5,8 +5,10 @@ Every one of them is exact; sizes only choose between two ways to the same resul
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BROADCAST_ROWS = 20_000
 ROWS_PER_TASK = 5_000_000
@@ -16,10 +18,12 @@ COARSE = 32
 def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS):
     """The rows of a small frame as an Arrow table, or None if it has more than `max_rows`.
 
-    At most `max_rows + 1` rows ever reach the driver.
+    At most `max_rows + 1` rows ever reach the driver, and partitions are run only until they are found.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    return pa.Table.from_pylist([r.asDict(recursive=True) for r in rows], schema=to_arrow_schema(df.schema))
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editlens import schema as S
+from editlens.functions.flags import is_true
 from editlens.operators import metrics as M
 from editlens.operators.joins import join_dimension
 from editlens.operators.scale import ROWS_PER_TASK, exact_quantiles
@@ -103,7 +104,7 @@ def model_leaderboard(
     Inputs are long scores (model, label, is_anonymous, score).
     """
     by = ["model", "population"]
-    anonymous = F.coalesce(F.col(S.ANONYMOUS), F.lit(False))
+    anonymous = is_true(F.col(S.ANONYMOUS))
     full = unbalanced.select(
         "model", S.LABEL, "score",
         F.explode(F.array_compact(F.array(F.lit("all"), F.when(anonymous, F.lit("anonymous"))))).alias("population"),

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editlens import schema as S
+from editlens.functions.flags import is_true
 from editlens.operators import fairness, joins, sampling, slices
 from editlens.operators.revisions import filter_scored
 from editlens.session import materialize
@@ -17,7 +18,7 @@ def long_scores(test: DataFrame, models: dict[str, str], ids: list[str] | None =
 
 def evaluate(test: DataFrame, models: dict[str, str], reference: str, min_rows: int = 10_000) -> dict[str, DataFrame]:
     """All result tables. Rows are balanced first and then narrowed to those the reference system has scored."""
-    test = materialize(test.withColumn("__anonymous", F.coalesce(F.col(S.ANONYMOUS), F.lit(False)).cast("double")), "test")
+    test = materialize(test.withColumn("__anonymous", is_true(F.col(S.ANONYMOUS)).cast("double")), "test")
     models = models | {"__anonymous": "baseline"}
     scores = lambda rows: long_scores(filter_scored(rows, [reference]), models)
     unbalanced = scores(test)
