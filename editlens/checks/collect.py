@@ -7,7 +7,9 @@ from editlens import schema as S
 from editlens.checks.fixtures import HISTORY, MODELS, Tables
 from editlens.checks.registry import query
 from editlens.functions import scores as Sc
-from editlens.functions.text import decode_counts, decode_pairs, decode_strings, encode_strings, language_code
+from editlens.functions.text import (
+    decode_counts, decode_pairs, decode_strings, encode_counts, encode_pairs, encode_strings, language_code,
+)
 from editlens.operators import diff, joins, revisions as R
 from editlens.plans.collection import CollectionSettings, filtered_revisions, revert_overview
 from editlens.session import work_path
@@ -335,13 +337,11 @@ def flag_presence(t: Tables):
 FROM (SELECT *, string_split(text, chr(10)) AS parts FROM documents)""")
 def decode_list_columns(t: Tables):
     docs = t.table("documents").withColumn("parts", F.split("text", "\n"))
-    quote = lambda c: F.substring(encode_strings(F.array(c)), 2, 10_000_000)
-    inner = lambda c: F.substring_index(F.concat(quote(c), F.lit("\x00")), "]\x00", 1)
-    pair = F.concat(F.lit("("), inner(F.col("parts")[0]), F.lit(", "), inner(F.col("source")), F.lit(")"))
+    pair = F.struct(F.col("parts")[0].alias("before"), F.col("source").alias("after"))
     written = docs.select(
         F.col("doc_id").alias(ID), encode_strings(F.col("parts")).alias("texts_insert"),
-        F.concat(F.lit("["), pair, F.lit(", "), pair, F.lit("]")).alias("texts_change"),
-        F.concat(F.lit("{'insert_Text': "), F.size("parts"), F.lit("}")).alias("actions"),
+        encode_pairs(F.array(pair, pair)).alias("texts_change"),
+        encode_counts(F.create_map(F.lit("insert_Text"), F.size("parts"))).alias("actions"),
     )
     texts, pairs = decode_strings(F.col("texts_insert")), decode_pairs(F.col("texts_change"))
     decoded = written.select(ID, texts.alias("t"), pairs.alias("p"), decode_counts(F.col("actions")).alias("a"))

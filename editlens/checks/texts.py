@@ -210,7 +210,7 @@ def collect_fragments(t: Tables):
     return union
 
 
-@query("SELECT DISTINCT text, NULL AS text_pair FROM (SELECT unnest(texts_insert) AS text FROM edits) WHERE length(text) > 0")
+@query("SELECT DISTINCT text, CAST(NULL AS VARCHAR) AS text_pair FROM (SELECT unnest(texts_insert) AS text FROM edits) WHERE length(text) > 0")
 def sort_by_length(t: Tables):
     return Fr.sort_by_length(Fr.collect_fragments(t.edits, "insert"))
 

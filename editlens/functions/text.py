@@ -148,16 +148,24 @@ def decode_counts(text: Column) -> Column:
     return F.from_json(text, "map<string,int>", {"allowSingleQuotes": "true"})
 
 
+def _quoted(text: Column) -> Column:
+    for plain, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit("'"), text, F.lit("'"))
+
+
 def encode_strings(array: Column) -> Column:
     """Array of strings as the Python literal the exchange files hold."""
-    quoted = F.transform(
-        array,
-        lambda s: F.concat(
-            F.lit("'"),
-            F.replace(
-                F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n")
-            ),
-            F.lit("'"),
-        ),
-    )
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(array, _quoted), ", "), F.lit("]"))
+
+
+def encode_pairs(array: Column) -> Column:
+    """Array of (before, after) structs as the Python literal the exchange files hold."""
+    pair = lambda p: F.concat(F.lit("("), _quoted(p["before"]), F.lit(", "), _quoted(p["after"]), F.lit(")"))
+    return F.concat(F.lit("["), F.array_join(F.transform(array, pair), ", "), F.lit("]"))
+
+
+def encode_counts(counts: Column) -> Column:
+    """Map of counts as the Python literal the exchange files hold."""
+    entry = lambda e: F.concat(_quoted(e["key"]), F.lit(": "), e["value"].cast("string"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(counts), entry), ", "), F.lit("}"))

@@ -42,9 +42,7 @@ def score_path(
     df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score", rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Score counts with `tp` and `fp`: positives and negatives at or above each score, `all_pos`, `all_neg`."""
-    rows = df.where(F.col(label).isNotNull()).select(
-        *keys, F.coalesce(F.col(score).cast("double"), F.lit(float(S.MISSING))).alias("score")
-    )
+    rows = df.select(*keys, F.coalesce(F.col(score).cast("double"), F.lit(float(S.MISSING))).alias("score"))
     path = running(
         score_counts(df, keys, label, score), keys, "score", sums=["pos", "neg"], descending=True, size_of=rows,
         rows_per_task=rows_per_task,
@@ -215,9 +213,7 @@ def pr_envelope(
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         _over(F.col("tp"), F.col("all_pos")).alias("recall"),
     )
-    sized = df.where(F.col(label).isNotNull()).select(
-        *keys, F.coalesce(F.col(score).cast("double"), F.lit(float(S.MISSING))).alias("threshold")
-    )
+    sized = df.select(*keys, F.coalesce(F.col(score).cast("double"), F.lit(float(S.MISSING))).alias("threshold"))
     smooth = running(points, keys, "threshold", maxes=["precision"], size_of=sized, rows_per_task=rows_per_task)
     return smooth.select(*keys, "threshold", F.col("run_precision").alias("precision"), "recall").unionByName(
         _closing_point(df, keys, label)

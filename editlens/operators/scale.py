@@ -44,8 +44,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+def _groups_fit(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> bool:
+    """True if no group has more rows than one task may take.
+
+    The total row count, which a parquet scan takes from file footers, settles it for small frames.
+    """
+    if df.count() <= rows_per_task:
+        return True
+    if not keys:
+        return False
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] <= rows_per_task
 
 
 def _value_edges(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -87,7 +95,7 @@ def running(
     keys = list(keys)
     sized = size_of if size_of is not None else df
     by = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    if _largest_group(sized, keys) <= rows_per_task:
+    if _groups_fit(sized, keys, rows_per_task):
         whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
         path = whole.orderBy(by(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select(
@@ -139,8 +147,8 @@ def exact_quantiles(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Quantiles with linear interpolation, `q_0 … q_k` per key, from value counts and running totals."""
-    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("__v"))
-    counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    rows = df.select(*keys, F.col(column).cast("double").alias("__v"))
+    counts = rows.where(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     ranked = running(counts, keys, "__v", sums=["__n"], size_of=rows, rows_per_task=rows_per_task)
     found, at = [], []
     for i, p in enumerate(probabilities):
@@ -158,7 +166,7 @@ def exact_quantiles(
 
 def average_ranks(df: DataFrame, column: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Distinct values of a column with their rank; tied rows share the mean of their ranks."""
-    rows = df.where(F.col(column).isNotNull()).select(column)
-    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(column)
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     ranked = running(counts, [], column, sums=["n"], size_of=rows, rows_per_task=rows_per_task)
     return ranked.select(column, (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
