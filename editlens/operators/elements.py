@@ -40,10 +40,26 @@ WIKITEXT_PATTERNS = {
 }
 
 
+# Text every match of a pattern contains. Where it is absent, which is cheap to see, the pattern is not run.
+REQUIRED_TEXT = {
+    "Argument": "{{{", "Category": "[[", "Comment": "<!--", "ExternalLink": "://", "Gallery": "</", "HTMLEntity": "&",
+    "Heading": "=", "Media": "[[", "Reference": "<", "Section": "==", "Table": "{|", "Template": "{{",
+    "Text Formatting": "''", "Wikilink": "[[",
+}
+
+
+def _found(text: Column, kind: str, pattern: str, group: int) -> Column:
+    """All matches of a pattern in a text."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if kind not in REQUIRED_TEXT or WIKITEXT_PATTERNS.get(kind) != pattern:
+        return values
+    return F.when(F.contains(text, F.lit(REQUIRED_TEXT[kind])), values).otherwise(F.array().cast("array<string>"))
+
+
 def _matches(text: Column, side: str, patterns: dict[str, str], group: int) -> Column:
     per_type = [
         F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
+            _found(text, kind, pattern, group),
             lambda v, i: F.struct(
                 F.lit(kind).alias("type"), F.lit(side).alias("side"), i.alias("place"), v.alias("value")
             ),
@@ -95,7 +111,7 @@ def element_actions(
     kinds = F.array(*[
         F.struct(
             F.lit(kind).alias("type"),
-            *[F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias(n) for n, text in texts.items()],
+            *[_found(text, kind, pattern, group).alias(n) for n, text in texts.items()],
         )
         for kind, pattern in patterns.items()
     ])

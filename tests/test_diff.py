@@ -150,3 +150,28 @@ def test_node_texts(spark):
 def test_categories(spark):
     df = spark.createDataFrame([("[[Category:A, b]] [[kategorie:C:d]] [[File:x]] [[plain]]", ["category", "kategorie"])], "t string, al array<string>")
     assert df.select(category_links(F.col("t"), F.col("al"))).first()[0] == ["A b", "C:d"]
+
+
+WIKITEXT = """{{{arg|x}}} [[Category:A]] [[Kategorie:B]] <!-- a
+note --> https://example.org/x <GALLERY mode=a>
+a.png</Gallery> &amp; &#160;
+== Head ==
+=== Sub ===
+* item
+# two
+[[File:a.png|thumb]] [[IMAGE:b.png]] <ref name=a>text</ref> <REF name=b/> {|
+! head
+| cell
+|}
+{{cite|a}} ''it'' '''bold''' [[Link|label]]. Some words, here!
+"""
+
+
+def test_required_text_never_hides_a_match(spark):
+    df = spark.createDataFrame([("a", 1, WIKITEXT), ("a", 2, "plain words"), ("a", 3, "")], "wiki_db string, revision_id long, t string")
+    # The same patterns in a group of their own are not known by name and run on every text.
+    always = {k: f"(?:{p})" for k, p in elements.WIKITEXT_PATTERNS.items()}
+    fast, plain = elements.extract_elements(df, "t"), elements.extract_elements(df, "t", always)
+    assert fast.exceptAll(plain).count() == 0 and plain.exceptAll(fast).count() == 0
+    found = {r["type"] for r in fast.where("revision_id = 1").select("type").distinct().collect()}
+    assert found == set(S.CONTENT_TYPES)
