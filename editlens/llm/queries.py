@@ -2,10 +2,11 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlens.llm import curriculum, hilbert, syncmers, url_cascade
+from editlens.llm import bpe, compression, curriculum, hilbert, syncmers, toxicity, url_cascade
 from editlens.llm.common import word_count
 from editlens.session import materialize
 
@@ -49,11 +50,35 @@ def op2_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.withColumn("__first", first).orderBy("__first", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op3_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
+    return compression.with_verdict(_table(spark, folder, "documents"), ["doc_id"])
+
+
 @query()
 def op5_closed_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.fingerprints(_table(spark, folder, "documents"))
 
 
+@query()
+def op6_lexicon_automata(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.learn(docs, _table(spark, folder, "labels"))
+    return toxicity.with_score(docs, ["doc_id"], model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", toxicity.predicted(F.col("score")).alias("predicted")
+    )
+
+
+#: The public vocabulary; the file is read where it is installed.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@query()
+def op8_bpe_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return bpe.digests(docs, ["doc_id"], public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 RULES = (
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 )
