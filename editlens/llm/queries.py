@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlens.llm import bpe, compression, curriculum, hilbert, syncmers, toxicity, url_cascade
+from editlens.llm import (
+    bpe, compression, cross_entropy, curriculum, hilbert, syncmers, token_files, toxicity, url_cascade,
+)
 from editlens.llm.common import word_count
-from editlens.session import materialize
+from editlens.session import materialize, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +30,32 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Public vocabularies; the files are read where they are installed.
+VOCABULARY, FLAT_VOCABULARY = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"
+
+
+@query()
+def op1_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Writes the documents as flat token files, forgets where they are, and finds them again.
+
+    Ids come back by place: a partition of the scan is a file, in the same order. A document without its counterpart
+    raises an error.
+    """
+    docs, path = _table(spark, folder, "documents"), work_path(spark, "tokens")
+    token_files.write_token_files(docs, path, public_tokenizers.path(FLAT_VOCABULARY), public_tokenizers.PATTERN)
+    found = token_files.scan_token_files(spark, path).withColumn("file_no", token_files.part_number())
+    places = docs.select(
+        "doc_id", F.spark_partition_id().alias("file_no"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("doc_no"), F.lit(True).alias("there"),
+    )
+    both = found.join(places, ["file_no", "doc_no"], "full")
+    lost = F.raise_error(F.lit("documents and token files do not match"))
+    return both.select(
+        "doc_id", "file_no", "doc_no", "start",
+        F.when(F.col("there") & F.col("n_tokens").isNotNull(), F.col("n_tokens")).otherwise(lost.cast("long")).alias("n_tokens"),
+    )
+
+
 @query("""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -55,6 +83,14 @@ def op3_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     return compression.with_verdict(_table(spark, folder, "documents"), ["doc_id"])
 
 
+@query()
+def op4_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
+    """The target is every document labelled as good; the background is the whole corpus."""
+    docs = _table(spark, folder, "documents")
+    model = cross_entropy.learn(docs, _table(spark, folder, "labels").where("quality = 1"))
+    return cross_entropy.with_score(docs, ["doc_id"], model)
+
+
 @query()
 def op5_closed_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.fingerprints(_table(spark, folder, "documents"))
@@ -69,10 +105,6 @@ def op6_lexicon_automata(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-#: The public vocabulary; the file is read where it is installed.
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-
-
 @query()
 def op8_bpe_matrices(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
