@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editlens.llm import (
-    bpe, compression, cross_entropy, curriculum, hilbert, syncmers, token_files, toxicity, url_cascade,
+    bpe, chosen_path, compression, cross_entropy, curriculum, hilbert, syncmers, token_files, toxicity, url_cascade,
 )
 from editlens.llm.common import word_count
 from editlens.session import materialize, work_path
@@ -138,3 +138,8 @@ def op9_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit(hilbert.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         "cell",
     )
+
+
+@query()
+def op10_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.near_duplicates(_table(spark, folder, "documents"))
