@@ -28,6 +28,7 @@ SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     "kept boolean, ratio double, n_chunks int, n_bad_chunks int"
 )
+NAMES = tuple(c.split()[0] for c in SCHEMA.split(", "))
 
 
 def upper_limit(n_bytes: int) -> float:
@@ -100,8 +101,7 @@ def with_verdict(docs: DataFrame, columns: list[str]) -> DataFrame:
     A null or blank text has no words and fails. A text is read whole, whatever its length. Named columns must not clash
     with the added ones. One pass, no shuffle.
     """
-    columns = list(columns)
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    columns, names = list(columns), NAMES
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=LEVEL)
