@@ -111,7 +111,7 @@ def documents_in(blocks: DataFrame) -> DataFrame:
     ends = F.transform("places", lambda p, i: F.struct(
         p.alias("end"), F.when(i == 0, F.col("open_at")).otherwise(F.get("places", i - 1)).alias("open"), F.lit(True).alias("closed")
     ))
-    tail_open = F.coalesce(F.element_at("places", -1), F.col("open_at"))
+    tail_open = F.coalesce(F.try_element_at("places", F.lit(-1)), F.col("open_at"))
     tail = F.array(F.struct(F.col("end").alias("end"), tail_open.alias("open"), F.lit(False).alias("closed")))
     rest = F.col("is_last") & (tail_open < F.col("end") - 1)
     all_ends = F.when(rest, F.concat(ends, tail)).otherwise(ends)
