@@ -52,15 +52,12 @@ def revert_overview_by_wiki(t: Tables):
 joined AS (SELECT t1.*, t2.revision_is_identity_reverted AS rr, t2.event_user_groups AS rg
   FROM scanned t1 LEFT JOIN scanned t2
     ON t1.wiki_db = t2.wiki_db AND t1.revision_first_identity_reverting_revision_id = t2.revision_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY wiki_db ORDER BY md5(concat('42:', revision_id)), revision_id) AS rn
-  FROM joined WHERE {_FILTERED})
+kept AS (SELECT * FROM joined WHERE {_FILTERED})
 SELECT revision_id, wiki_db, {REVERTED} AS label, CAST({_TRUSTED} AS INT) AS trusted,
   CAST(coalesce(list_contains(revision_tags, 'mobile edit'), false) AS INT) AS is_mobile_edit
-FROM ranked WHERE rn <= 700""")
+FROM kept""")
 def collect_filtered_revisions(t: Tables):
-    settings = CollectionSettings(
-        start="2024-01-03", end="2024-01-25", drop_revert_wars=True, max_rows_per_wiki=700
-    )
+    settings = CollectionSettings(start="2024-01-03", end="2024-01-25", drop_revert_wars=True)
     return filtered_revisions(t.history, settings).select(
         ID, WIKI, F.col(LABEL).alias("label"), F.col("is_reverted_by_good_user").alias("trusted"), "is_mobile_edit"
     )
@@ -123,17 +120,17 @@ _CSV = T.StructType([
 @query("SELECT revision_id, wiki_db, md5(revision_text) AS digest FROM pairs")
 def read_csv_dataset(t: Tables):
     path = work_path(t.spark, "texts")
-    files.write_csv(t.pairs.select(ID, WIKI, F.col("revision_text").alias("text")), path)
+    files.write_csv(t.pairs.select(F.col("revision_text").alias("text"), "source", WIKI, ID), path)  # another order
     read = files.read_csv_dataset(t.spark, path, _CSV)
     return read.select(ID, WIKI, F.md5("text").alias("digest"))
 
 
-@query("SELECT revision_id, wiki_db, event_comment AS text FROM history WHERE wiki_db IN ('enwiki', 'dewiki', 'frwiki')")
+@query("SELECT revision_id, wiki_db, event_comment AS text FROM history")
 def read_many_union(t: Tables):
     path = work_path(t.spark, "languages")
-    rows = t.history.select(ID, WIKI, F.col("event_comment").alias("text"), F.substring(WIKI, 1, 2).alias("code"))
+    rows = t.history.select(ID, WIKI, F.col("event_comment").alias("text"), F.replace(WIKI, F.lit("wiki"), F.lit("")).alias("code"))
     files.write_csv(rows, path, ["code"])
-    return files.read_many_union(t.spark, path + "/code={}", ["en", "de", "fr"], _CSV)
+    return files.read_many_union(t.spark, path + "/code={}", ["en", "de", "fr", "es", "simple"], _CSV)
 
 
 @query("SELECT wiki_db, count(*) AS row_count, sum(revision_id)::BIGINT AS id_sum FROM history GROUP BY wiki_db")

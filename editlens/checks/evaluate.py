@@ -50,7 +50,7 @@ def rate_count_by_two_keys(t: Tables):
 
 
 @query(f"""SELECT page_title, round(avg({Y}), 6) AS label, count(*) AS rev_count, min(wiki_db) AS wikidb
-FROM history GROUP BY page_title HAVING count(*) >= 5""")
+FROM history WHERE page_title IS NOT NULL GROUP BY page_title HAVING count(*) >= 5""")
 def title_stats(t: Tables):
     return A.title_stats(t.history).select("page_title", R6("label"), "rev_count", "wikidb")
 
@@ -363,15 +363,15 @@ def threshold_sweep(t: Tables):
 
 
 @query(_long("wiki_db", extra=", avg(CAST(is_anonymous AS INT)) AS ar") + """
-SELECT model, wiki_db, n, revert_rate, auc, round(ar, 6) AS anonymous_rate, CASE wiki_db WHEN 'enwiki' THEN 6500000 WHEN 'dewiki' THEN 2700000 END AS articles
-FROM t WHERE n > (SELECT 0.15 * count(*) FROM history)""")
+SELECT model, wiki_db, n, revert_rate, auc, round(ar, 6) AS anonymous_rate, articles
+FROM t LEFT JOIN (SELECT (ARRAY['enwiki', 'dewiki', 'frwiki', 'eswiki'])[n_nationkey + 1] AS wiki, (n_nationkey + 1) * 1000000 AS articles
+  FROM nation WHERE n_nationkey < 4) ON wiki = wiki_db""")
 def metrics_by_wiki(t: Tables):
-    articles = t.table("nation").where("n_nationkey < 2").select(
-        F.when(F.col("n_nationkey") == 0, "enwiki").otherwise("dewiki").alias(WIKI),
-        F.when(F.col("n_nationkey") == 0, 6500000).otherwise(2700000).alias("articles"),
+    named = F.get(F.array(*[F.lit(f"{c}wiki") for c in ("en", "de", "fr", "es")]), F.col("n_nationkey").cast("int"))
+    articles = t.table("nation").where("n_nationkey < 4").select(
+        named.alias(WIKI), ((F.col("n_nationkey") + 1) * 1000000).alias("articles")
     )
-    size = int(0.15 * t.history.count())
-    table = Sl.metrics_by_wiki(t.scores(), articles, min_rows=size)
+    table = Sl.metrics_by_wiki(t.scores(), articles)
     return _rounded(table, ["model", WIKI, "n", "articles"], ["revert_rate", "auc", "anonymous_rate"])
 
 
@@ -466,11 +466,13 @@ UNION ALL SELECT *, 'all', 'balanced' FROM scores WHERE is_balanced = 1
 UNION ALL SELECT *, wiki_db, 'balanced' FROM scores WHERE is_balanced = 1)"""
 
 
-@query(_long("part, scope", where="model = 'boosted'").replace("FROM scores WHERE", f"FROM {_PARTS} WHERE") + """
-SELECT part, scope, n, auc, precision, recall, f1, accuracy FROM t""")
+@query(_long("part, scope", where="model = 'incumbent'").replace("FROM scores WHERE", f"FROM {_PARTS} WHERE") + f""",
+l AS (SELECT part, scope, round(avg(-({Y} * ln(p) + (1 - {Y}) * ln(1 - p))), 6) AS log_loss FROM (
+  SELECT *, least(greatest(score, 1e-15), 1 - 1e-15) AS p FROM {_PARTS} WHERE model = 'incumbent' AND score IS NOT NULL) GROUP BY part, scope)
+SELECT part, scope, n, log_loss, auc, precision, recall, f1, accuracy FROM t JOIN l USING (part, scope)""")
 def eval_metric_set(t: Tables):
-    rows = t.history.select(LABEL, WIKI, "is_balanced", F.col("boosted_pred").alias("score"))
-    return _rounded(Sl.eval_metric_set(rows), ["part", "scope", "n"], ["auc", "precision", "recall", "f1", "accuracy"])
+    rows = t.history.select(LABEL, WIKI, "is_balanced", F.col("incumbent_pred").alias("score"))
+    return _rounded(Sl.eval_metric_set(rows), ["part", "scope", "n"], ["log_loss", "auc", "precision", "recall", "f1", "accuracy"])
 
 
 _POPULATIONS = "(SELECT *, 'all' AS population FROM scores UNION ALL SELECT *, 'anonymous' FROM scores WHERE is_anonymous)"

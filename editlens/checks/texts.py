@@ -310,8 +310,8 @@ def comment_training_set(t: Tables):
     return Fr.comment_training_set(t.edits)
 
 
-@query(f"""SELECT replace(coalesce(page_title, ''), '_', ' ') AS page_title, round(avg({Y}), 6) AS label, count(*) AS rev_count, min(wiki_db) AS wikidb
-FROM history GROUP BY history.page_title HAVING count(*) >= 5""")
+@query(f"""SELECT replace(page_title, '_', ' ') AS page_title, round(avg({Y}), 6) AS label, count(*) AS rev_count, min(wiki_db) AS wikidb
+FROM history WHERE page_title IS NOT NULL GROUP BY history.page_title HAVING count(*) >= 5""")
 def title_training_set(t: Tables):
     return Fr.title_training_set(t.history).select("page_title", R6("label"), "rev_count", "wikidb")
 

@@ -82,8 +82,7 @@ def assemble_features(t: Tables):
 @query()
 def train_classifier(t: Tables):
     rows = _training_rows(t)
-    model = C.train_classifier(rows, FEATURES, CATEGORICAL, settings=SMALL)
-    scored = C.predict_scores(model, rows, FEATURES)
+    _, scored = C.train_and_test(rows, FEATURES, CATEGORICAL, settings=SMALL)
     return M.metric_table(scored, [], score="predict_score").select("n", "auc", "log_loss", "accuracy", "f1")
 
 
@@ -112,10 +111,10 @@ def save_load_model(t: Tables):
 def feature_set_ablation(t: Tables):
     rows = _training_rows(t)
     sets = {
-        "all": [BASIC, REVISION, FLAGS, REGION, TEXT],
-        "no_text_features": [BASIC, REVISION, FLAGS, REGION],
-        "no_user_and_page_location_features": [BASIC, REVISION, FLAGS, TEXT],
-        "features_text_only": [TEXT],
+        "all": [*BASIC, *REVISION, *FLAGS, *REGION, *TEXT],
+        "no_text_features": [*BASIC, *REVISION, *FLAGS, *REGION],
+        "no_user_and_page_location_features": [*BASIC, *REVISION, *FLAGS, *TEXT],
+        "features_text_only": TEXT,
     }
     early = F.dayofmonth(S.TIMESTAMP) < 15
     return C.feature_set_ablation(

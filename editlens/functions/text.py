@@ -98,7 +98,8 @@ def category_links(text: Column, aliases: Column) -> Column:
     return F.transform(named, lambda s: F.regexp_replace(s, r"^[^:]*:", ""))
 
 
-_AWKWARD = r"\\[xuUN0-9a]|None|True|False|nan"
+# Bare words, escapes JSON lacks, tuples, and more than one list are read by Python. A match inside quotes costs time only.
+_AWKWARD = r"\\[xuUN0-9a]|(^|[\[(,\s])(None|True|False|nan)($|[\]),\s])|^\s*\(|\]\s*\["
 _JSON_OPTIONS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 

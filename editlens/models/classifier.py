@@ -5,7 +5,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +20,17 @@ from editlens.session import materialize
 
 @dataclass(frozen=True)
 class TrainingSettings:
-    """Size of the model. The validation column stops growth when the held-out loss no longer falls."""
+    """Size of the model. `stop_share` of the training rows stops growth when their loss no longer falls.
+
+    `bins` is a least number; a category with more values gets as many as it needs.
+    """
 
     rounds: int = 100
     step: float = 0.1
     depth: int = 6
     bins: int = 128
     test_share: float = 0.1
+    stop_share: float = 0.1
     seed: int = S.SEED
     balance_classes: bool = True
     keys: Sequence[str] = field(default_factory=lambda: tuple(S.KEYS))
@@ -54,22 +58,21 @@ def assemble_features(
     return Pipeline(stages=assembler_stages(features, categorical)).fit(filled).transform(filled)
 
 
-def create_feature_set(groups: Sequence[Sequence[str]], categorical: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Joins feature groups into one list, with the categorical ones among them."""
-    features = [name for group in groups for name in group]
-    return features, [c for c in categorical if c in features]
-
-
 def _weighted(df: DataFrame, label: str, balance: bool) -> DataFrame:
-    """Adds the class weight of each row; two classes, so the weights are constants of an expression."""
+    """Adds the class weight of each row as the training part alone gives it; two classes, so it is an expression."""
     if not balance:
         return df.withColumn("__weight", F.lit(1.0))
     weight = F.lit(1.0)
-    for row in class_weights(df, label).collect():  # one row per class
+    for row in class_weights(df.where(~F.col("__held_out")), label).collect():  # one row per class
         weight = F.when(F.col(label) == row[label], row["weight"]).otherwise(weight)
     return df.withColumn("__weight", weight)
 
 
+def _bins(fitted: PipelineModel, least: int) -> int:
+    """Enough bins for the category with the most values, the one for unseen values included."""
+    return max([least, *(len(values) + 1 for stage in fitted.stages if isinstance(stage, StringIndexerModel) for values in stage.labelsArray)])
+
+
 def train_classifier(
     df: DataFrame,
     features: Sequence[str],
@@ -78,26 +81,40 @@ def train_classifier(
     settings: TrainingSettings = TrainingSettings(),
     part: str | None = None,
 ) -> PipelineModel:
-    """Fits class-weighted boosted trees; a stratified hold-out (or the rows with `part` = test) decides when to stop.
+    """Fits class-weighted boosted trees on the rows whose `part` is train (all rows without `part`).
 
+    A stratified share of those rows decides when to stop; weights come from the others. Test rows are not seen at all.
     Training passes over its rows many times, so they are written once, evenly spread, and read from there.
     """
     names = [f"`{c}`" for c in features]
     keys = [c for c in settings.keys if c not in features]
-    wanted = df.where(F.col(label).isNotNull()).select(
-        *names, *keys, F.col(label).cast("int").alias("__label"), *([F.col(part).alias("part")] if part else [])
-    )
+    mine = df if part is None else df.where(F.col(part) == "train").drop(part)
+    wanted = mine.where(F.col(label).isNotNull()).select(*names, *keys, F.col(label).cast("int").alias("__label"))
     rows = materialize(fill_missing_features(wanted, features).repartition(*settings.keys), "training")
-    if part is None:
-        rows = split_stratified(rows, settings.test_share, "__label", settings.keys, settings.seed)
+    rows = split_stratified(rows, settings.stop_share, "__label", settings.keys, settings.seed)
     used = rows.select(*names, "__label", (F.col("part") == "test").alias("__held_out"))
     weighted = _weighted(used, "__label", settings.balance_classes)
+    assembled = Pipeline(stages=assembler_stages(features, categorical)).fit(weighted)
     trees = GBTClassifier(
         labelCol="__label", featuresCol="features", weightCol="__weight", validationIndicatorCol="__held_out",
-        maxIter=settings.rounds, stepSize=settings.step, maxDepth=settings.depth, maxBins=settings.bins,
+        maxIter=settings.rounds, stepSize=settings.step, maxDepth=settings.depth, maxBins=_bins(assembled, settings.bins),
         seed=settings.seed,
     )
-    return Pipeline(stages=[*assembler_stages(features, categorical), trees]).fit(weighted)
+    return PipelineModel([*assembled.stages, trees.fit(assembled.transform(weighted))])
+
+
+def train_and_test(
+    df: DataFrame,
+    features: Sequence[str],
+    categorical: Sequence[str] = tuple(S.CATEGORICAL_FEATURES),
+    label: str = S.LABEL,
+    settings: TrainingSettings = TrainingSettings(),
+) -> tuple[PipelineModel, DataFrame]:
+    """A model of a stratified train part, and the scored rows of the test part, which it has not seen."""
+    labelled = df.where(F.col(label).isNotNull()).withColumn("__class", F.col(label).cast("int"))
+    split = split_stratified(labelled, settings.test_share, "__class", settings.keys, settings.seed).drop("__class")
+    model = train_classifier(split, features, categorical, label, settings, part="part")
+    return model, predict_scores(model, split.where(F.col("part") == "test").drop("part"), features)
 
 
 def predict_scores(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -130,16 +147,15 @@ def load_model(path: str) -> PipelineModel:
 def feature_set_ablation(
     train: DataFrame,
     test: DataFrame,
-    feature_sets: dict[str, Sequence[Sequence[str]]],
+    feature_sets: dict[str, Sequence[str]],
     categorical: Sequence[str] = tuple(S.CATEGORICAL_FEATURES),
     label: str = S.LABEL,
     settings: TrainingSettings = TrainingSettings(),
 ) -> DataFrame:
     """One model per named feature set; its metrics on full and balanced test rows, in total and per wiki."""
     tables = []
-    for name, groups in feature_sets.items():
-        features, cats = create_feature_set(groups, categorical)
-        model = train_classifier(train, features, cats, label, settings)
+    for name, features in feature_sets.items():
+        model = train_classifier(train, features, categorical, label, settings)
         scored = predict_scores(model, test, features)
         metrics = eval_metric_set(scored, label, "predict_score")
         tables.append(metrics.select(F.lit(name).alias("feature_set"), "*"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from editlens import schema as S
-from editlens.operators.scale import ROWS_PER_TASK, average_ranks, exact_quantiles, null_safe_join, small_side
+from editlens.operators.scale import average_ranks, exact_quantiles, null_safe_join
 
 
 def bad_revert_rate(df: DataFrame) -> DataFrame:
@@ -30,8 +30,8 @@ def rate_by_group(df: DataFrame, keys: Sequence[str], label: str = S.LABEL, anon
 
 
 def title_stats(df: DataFrame, min_rows: int = 5, label: str = S.LABEL) -> DataFrame:
-    """Per title: mean label, number of revisions, first wiki; titles with too few revisions are left out."""
-    return df.groupBy(S.TITLE).agg(
+    """Per title: mean label, number of revisions, first wiki; titles with too few revisions, and rows without a title, are left out."""
+    return df.where(F.col(S.TITLE).isNotNull()).groupBy(S.TITLE).agg(
         F.avg(F.col(label).cast("int")).alias("label"),
         F.count(label).alias("rev_count"),
         F.min(S.WIKI).alias("wikidb"),
@@ -47,14 +47,14 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe_by_label(
-    df: DataFrame, column: str, label: str = S.LABEL, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, column: str, label: str = S.LABEL
 ) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles and maximum of a column per label."""
     moments = df.groupBy(label).agg(
         F.count(column).alias("row_count"), F.avg(column).alias("mean"), F.stddev(column).alias("std"),
         F.min(column).alias("min"), F.max(column).alias("max"),
     )
-    quartiles = exact_quantiles(df, [label], column, [0.25, 0.5, 0.75], rows_per_task)
+    quartiles = exact_quantiles(df, [label], column, [0.25, 0.5, 0.75])
     return null_safe_join(moments, quartiles, [label], "left").withColumnsRenamed(
         {"q_0": "p25", "q_1": "p50", "q_2": "p75"}
     )
@@ -107,11 +107,11 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*cells)))
 
 
-def rank_correlation(df: DataFrame, x: str, y: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman correlation: Pearson over average ranks."""
     complete = df.select(x, y).dropna()
-    rx = small_side(average_ranks(complete, x, rows_per_task).withColumnRenamed("rank", "__rx"))
-    ry = small_side(average_ranks(complete, y, rows_per_task).withColumnRenamed("rank", "__ry"))
+    rx = average_ranks(complete, x).withColumnRenamed("rank", "__rx")
+    ry = average_ranks(complete, y).withColumnRenamed("rank", "__ry")
     ranked = complete.join(rx, x).join(ry, y)
     return ranked.agg(F.corr("__rx", "__ry").alias("rank_corr"), F.count(F.lit(1)).alias("n"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from editlens import schema as S
 from editlens.operators import metrics as M
 from editlens.operators.joins import join_many_models
-from editlens.operators.scale import ROWS_PER_TASK
 
 
 def _by_side(table: DataFrame, keys: Sequence[str], flag: str, columns: Sequence[str]) -> DataFrame:
@@ -42,27 +41,26 @@ def disparate_impact(
 
 
 def auc_difference(
-    scores: DataFrame, keys: Sequence[str] = ("model",), flag: str = S.ANONYMOUS, label: str = S.LABEL,
-    rows_per_task: int = ROWS_PER_TASK,
+    scores: DataFrame, keys: Sequence[str] = ("model",), flag: str = S.ANONYMOUS, label: str = S.LABEL
 ) -> DataFrame:
     """AUC of anonymous minus AUC of registered users."""
-    table = M.roc_auc(scores, [*keys, flag], label, rows_per_task=rows_per_task)
+    table = M.roc_auc(scores, [*keys, flag], label)
     sides = _by_side(table, keys, flag, ["auc"])
     return sides.select(*keys, (F.col("auc_u") - F.col("auc_p")).alias("auc_difference"))
 
 
-def _sides(scores: DataFrame, keys: Sequence[str], flag: str, label: str, threshold: float, rows: int) -> DataFrame:
-    table = M.metric_table(scores, [*keys, flag], label, threshold=threshold, rows_per_task=rows)
+def _sides(scores: DataFrame, keys: Sequence[str], flag: str, label: str, threshold: float) -> DataFrame:
+    table = M.metric_table(scores, [*keys, flag], label, threshold=threshold)
     table = table.withColumn("predicted_rate", _share(F.col("true_pos") + F.col("false_pos"), F.col("n")))
     return _by_side(table, keys, flag, ["revert_rate", "predicted_rate", "auc", "f1", "accuracy"])
 
 
 def fairness_table(
     scores: DataFrame, keys: Sequence[str] = ("model",), flag: str = S.ANONYMOUS, label: str = S.LABEL,
-    threshold: float = S.SCORE_THRESHOLD, rows_per_task: int = ROWS_PER_TASK,
+    threshold: float = S.SCORE_THRESHOLD
 ) -> DataFrame:
     """Disparate impact of labels and of predictions, and AUC difference, per model."""
-    sides = _sides(scores, keys, flag, label, threshold, rows_per_task)
+    sides = _sides(scores, keys, flag, label, threshold)
     return sides.select(
         *keys,
         _share(F.col("revert_rate_u"), F.col("revert_rate_p")).alias("disparate_impact_base"),
@@ -73,11 +71,11 @@ def fairness_table(
 
 def group_gap_metrics(
     scores: DataFrame, keys: Sequence[str] = ("model",), flag: str = S.ANONYMOUS, label: str = S.LABEL,
-    threshold: float = S.SCORE_THRESHOLD, rows_per_task: int = ROWS_PER_TASK,
+    threshold: float = S.SCORE_THRESHOLD
 ) -> DataFrame:
     """Statistical parity, F1 and accuracy differences, and the divergence of the predicted classes
     (registered from anonymous)."""
-    sides = _sides(scores, keys, flag, label, threshold, rows_per_task)
+    sides = _sides(scores, keys, flag, label, threshold)
     p, u = F.col("predicted_rate_p"), F.col("predicted_rate_u")
     part = lambda a, b: F.when(a == 0, 0.0).when(b > 0, a * F.log(a / b))
     return sides.select(

@@ -12,7 +12,7 @@ from editlens.functions.scores import softmax_pair
 from editlens.functions.text import readable_title
 from editlens.operators.revisions import filter_placeholder_text
 from editlens.operators.sampling import balance_training_set
-from editlens.operators.scale import small_side
+
 from editlens.operators.aggregates import title_stats
 
 TEXT_COLUMNS = {
@@ -83,7 +83,7 @@ def _scored(fragments: DataFrame, scores: DataFrame) -> DataFrame:
     by_digest = softmax_scores(scores).select(
         fragment_digest(F.col("text"), F.col("text_pair")).alias("digest"), "s_0", "s_1", "p_0", "p_1"
     )
-    return fragments.drop("text", "text_pair").join(small_side(by_digest), "digest")
+    return fragments.drop("text", "text_pair").join(by_digest, "digest")
 
 
 def fragment_features(
@@ -125,7 +125,7 @@ def title_features(df: DataFrame, scores: DataFrame) -> DataFrame:
         fragment_digest(F.col("text"), F.lit(None).cast("string")).alias("__d"), F.col("s_0").alias("title_s_0")
     )
     keyed = df.withColumn("__d", fragment_digest(readable_title(F.col(S.TITLE)), F.lit(None).cast("string")))
-    joined = keyed.join(small_side(by_title), "__d", "left").drop("__d")
+    joined = keyed.join(by_title, "__d", "left").drop("__d")
     joined = joined.withColumn("title_p_0", F.when(F.col("title_s_0").isNotNull(), F.lit(1.0)))
     return _filled(joined, ["title_s_0", "title_p_0"])
 
@@ -140,7 +140,7 @@ def comment_features(df: DataFrame, scores: DataFrame) -> DataFrame:
     # Edits without a comment get a key of their own that no score has, so that they do not meet in one task.
     own = F.concat(F.lit("-"), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in S.KEYS])
     keyed = df.withColumn("__d", F.coalesce(fragment_digest(F.col(S.COMMENT), none), own))
-    return _filled(keyed.join(small_side(by_text), "__d", "left").drop("__d"), S.COMMENT_FEATURES)
+    return _filled(keyed.join(by_text, "__d", "left").drop("__d"), S.COMMENT_FEATURES)
 
 
 def text_training_set(df: DataFrame, kind: str, balance: bool = True, label: str = S.LABEL) -> DataFrame:

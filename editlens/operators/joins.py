@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editlens import schema as S
-from editlens.operators.scale import small_side
+
 
 
 def join_revision_texts(
@@ -43,7 +43,7 @@ def join_revision_texts(
 
 def join_wanted(table: DataFrame, wanted: DataFrame, keys: Sequence[str] = S.KEYS) -> DataFrame:
     """Rows of a big table whose keys are wanted; the key list is broadcast only if it is small."""
-    return table.join(small_side(wanted.select(*keys).distinct()), list(keys))
+    return table.join(wanted.select(*keys).distinct(), list(keys))
 
 
 def join_user_features(history: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -98,14 +98,14 @@ def semi_join_topk(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 def join_dimension(df: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of a side table, broadcast if its size allows."""
-    return df.join(small_side(dimension), list(keys), "left")
+    return df.join(dimension, list(keys), "left")
 
 
 def join_page_region(df: DataFrame, regions: DataFrame, title: str = S.TITLE, region: str = "page_region") -> DataFrame:
     """Region per page, resolved once per title and mapped back; missing → `Unknown`."""
     wanted = df.select(title).distinct()
     resolved = regions.join(wanted, title, "left_semi").groupBy(title).agg(F.min(region).alias(region))
-    return df.join(small_side(resolved), title, "left").withColumn(region, F.coalesce(region, F.lit("Unknown")))
+    return df.join(resolved, title, "left").withColumn(region, F.coalesce(region, F.lit("Unknown")))
 
 
 def join_ip_range(
@@ -123,12 +123,12 @@ def join_ip_range(
         "ip_start", "ip_end", *attributes,
         F.explode(F.sequence(F.floor(F.col("ip_start") / width), F.floor(F.col("ip_end") / width))).alias("__prefix"),
     )
-    hits = probes.join(small_side(listed), "__prefix").where(F.col(address).between(F.col("ip_start"), F.col("ip_end")))
+    hits = probes.join(listed, "__prefix").where(F.col(address).between(F.col("ip_start"), F.col("ip_end")))
     narrowest = hits.groupBy(address).agg(
         F.min_by(F.struct(*attributes), F.struct(F.col("ip_end") - F.col("ip_start"), "ip_start")).alias("__hit")
     )
     resolved = narrowest.select(address, *[F.col(f"__hit.{a}").alias(a) for a in attributes])
-    return df.join(small_side(resolved), address, "left")
+    return df.join(resolved, address, "left")
 
 
 def unpivot_scores(df: DataFrame, ids: Sequence[str], models: dict[str, str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from editlens import schema as S
 from editlens.functions.flags import is_true
 from editlens.functions.hashing import hash_uniform
-from editlens.operators.scale import ROWS_PER_TASK, null_safe_join, running
+from editlens.operators.scale import null_safe_join, running
 
 RECALL_LEVEL = 0.75
 LOG_EPS = 1e-15
@@ -39,14 +39,10 @@ def score_counts(df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score
 
 
 def score_path(
-    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score", rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score"
 ) -> DataFrame:
     """Score counts with `tp` and `fp`: positives and negatives at or above each score, `all_pos`, `all_neg`."""
-    rows = df.select(*keys, F.coalesce(F.col(score).cast("double"), F.lit(float(S.MISSING))).alias("score"))
-    path = running(
-        score_counts(df, keys, label, score), keys, "score", sums=["pos", "neg"], descending=True, size_of=rows,
-        rows_per_task=rows_per_task,
-    )
+    path = running(score_counts(df, keys, label, score), keys, "score", sums=["pos", "neg"], descending=True)
     return path.withColumnsRenamed({"run_pos": "tp", "run_neg": "fp"})
 
 
@@ -88,7 +84,7 @@ def _area_parts() -> Column:
 
 def _log_loss_parts() -> Column:
     p = F.least(F.greatest(F.col("score"), F.lit(LOG_EPS)), F.lit(1 - LOG_EPS))
-    return F.sum(-(F.col("pos") * F.log(p) + F.col("neg") * F.log(1 - p)))
+    return F.sum(F.when(F.col("score") >= 0, -(F.col("pos") * F.log(p) + F.col("neg") * F.log(1 - p))))
 
 
 def _at_recall(level: float) -> Column:
@@ -102,11 +98,10 @@ def metric_table(
     label: str = S.LABEL,
     score: str = "score",
     threshold: float = S.SCORE_THRESHOLD,
-    recall_level: float = RECALL_LEVEL,
-    rows_per_task: int = ROWS_PER_TASK,
+    recall_level: float = RECALL_LEVEL
 ) -> DataFrame:
-    """All metrics per group in one pass; select what is needed, the rest is pruned."""
-    path = score_path(df, keys, label, score, rows_per_task)
+    """All metrics per group in one pass; select what is needed, the rest is pruned. Log loss skips missing scores (−1)."""
+    path = score_path(df, keys, label, score)
     sums = path.groupBy(*keys).agg(
         F.sum(F.col("pos") + F.col("neg")).alias("n"),
         F.sum("pos").alias("n_pos"),
@@ -115,6 +110,7 @@ def metric_table(
         _auc_parts().alias("__auc"),
         _area_parts().alias("__area"),
         _log_loss_parts().alias("__loss"),
+        F.sum(F.when(F.col("score") >= 0, F.col("pos") + F.col("neg"))).alias("__scored"),
         _at_recall(recall_level).alias("precision_at_recall"),
     )
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")
@@ -124,7 +120,7 @@ def metric_table(
         _over(F.col("n_pos"), F.col("n")).alias("revert_rate"),
         _over(F.col("__auc"), pairs).alias("auc"),
         _over(F.col("__area"), F.col("n_pos")).alias("pr_auc"),
-        _over(F.col("__loss"), F.col("n")).alias("log_loss"),
+        _over(F.col("__loss"), F.col("__scored")).alias("log_loss"),
         "precision_at_recall",
     )
 
@@ -146,10 +142,10 @@ def binary_metrics(
 
 
 def roc_auc(
-    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score", rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score"
 ) -> DataFrame:
     """Area under the ROC curve per group, ties by half; null if a class is missing."""
-    return metric_table(df, keys, label, score, rows_per_task=rows_per_task).select(*keys, "n", "auc")
+    return metric_table(df, keys, label, score).select(*keys, "n", "auc")
 
 
 def log_loss(df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score") -> DataFrame:
@@ -161,20 +157,20 @@ def log_loss(df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: st
 
 
 def roc_curve(
-    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score", rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score"
 ) -> DataFrame:
     """False and true positive rate at every distinct score."""
-    return score_path(df, keys, label, score, rows_per_task).select(
+    return score_path(df, keys, label, score).select(
         *keys, F.col("score").alias("threshold"),
         _over(F.col("fp"), F.col("all_neg")).alias("fpr"), _over(F.col("tp"), F.col("all_pos")).alias("tpr"),
     )
 
 
 def pr_curve(
-    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score", rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score"
 ) -> DataFrame:
     """Precision and recall at every distinct score, and the closing point (1, 0) without a threshold."""
-    points = score_path(df, keys, label, score, rows_per_task).select(
+    points = score_path(df, keys, label, score).select(
         *keys, F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         _over(F.col("tp"), F.col("all_pos")).alias("recall"),
@@ -189,32 +185,30 @@ def _closing_point(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
 
 
 def pr_auc(
-    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score", rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score"
 ) -> DataFrame:
     """Trapezoid area under the precision–recall curve."""
-    return metric_table(df, keys, label, score, rows_per_task=rows_per_task).select(*keys, "pr_auc")
+    return metric_table(df, keys, label, score).select(*keys, "pr_auc")
 
 
 def precision_at_recall(
-    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score", level: float = RECALL_LEVEL,
-    rows_per_task: int = ROWS_PER_TASK,
+    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score", level: float = RECALL_LEVEL
 ) -> DataFrame:
     """Precision at the highest threshold whose recall exceeds the level."""
-    table = metric_table(df, keys, label, score, recall_level=level, rows_per_task=rows_per_task)
+    table = metric_table(df, keys, label, score, recall_level=level)
     return table.select(*keys, "precision_at_recall")
 
 
 def pr_envelope(
-    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score", rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], label: str = S.LABEL, score: str = "score"
 ) -> DataFrame:
     """Precision–recall curve whose precision never falls as the threshold rises."""
-    points = score_path(df, keys, label, score, rows_per_task).select(
+    points = score_path(df, keys, label, score).select(
         *keys, F.col("score").alias("threshold"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         _over(F.col("tp"), F.col("all_pos")).alias("recall"),
     )
-    sized = df.select(*keys, F.coalesce(F.col(score).cast("double"), F.lit(float(S.MISSING))).alias("threshold"))
-    smooth = running(points, keys, "threshold", maxes=["precision"], size_of=sized, rows_per_task=rows_per_task)
+    smooth = running(points, keys, "threshold", maxes=["precision"])
     return smooth.select(*keys, "threshold", F.col("run_precision").alias("precision"), "recall").unionByName(
         _closing_point(df, keys, label)
     )

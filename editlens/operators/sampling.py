@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from editlens import schema as S
 from editlens.functions.flags import is_true
 from editlens.functions.hashing import hash_order, hash_uniform
-from editlens.operators.scale import null_safe_join, small_side
+from editlens.operators.scale import null_safe_join
 
 PREFIX = 3  # hex digits: 4,096 prefixes per group
 EVERYTHING = "g"  # sorts after every hex digest
@@ -41,13 +41,14 @@ def hash_limits(
         (F.col("__quota") < F.col(GROUP_SIZE))
         & (F.col("__upto") >= F.col("__quota")) & (F.col("__upto") - F.col("__n") < F.col("__quota"))
     )
-    plan = small_side(path.groupBy(*groups).agg(
+    plan = path.groupBy(*groups).agg(
         F.max(F.col("__quota") >= F.col(GROUP_SIZE)).alias("__all"),
         F.max(F.when(ends_here, F.col("__prefix"))).alias("__edge"),
         F.max(F.when(ends_here, F.col("__quota") - F.col("__upto") + F.col("__n"))).alias("__rest"),
-    ))
+    )
 
-    near = _by_group(hashed, plan, groups).where(F.col("__prefix") == F.col("__edge"))
+    near = _by_group(hashed, plan, groups).where(F.col("__prefix") == F.col("__edge")).drop("__prefix")
+    near = _narrowed(near, groups, prefix, whole)
     rank = F.row_number().over(whole.orderBy("__hash"))
     last = near.withColumn("__rank", rank).where(F.col("__rank") == F.col("__rest"))
     plain = plan.where(F.col("__edge").isNull()).select(
@@ -56,6 +57,22 @@ def hash_limits(
     return last.select(*groups, F.col("__hash").alias("__limit")).unionByName(plain)
 
 
+def _narrowed(near: DataFrame, groups: list[str], prefix: int, whole) -> DataFrame:
+    """Cuts the rows where a quota ends down once more, by the next hex digits, and what is left of the quota with them.
+
+    What remains to be ranked is one part in 16 million of a group.
+    """
+    near = near.withColumn("__prefix", F.substring("__hash", prefix + 1, PREFIX))
+    counts = near.groupBy(*groups, "__prefix", "__rest").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(whole.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    path = counts.withColumn("__upto", upto)
+    ends = path.where((F.col("__upto") >= F.col("__rest")) & (F.col("__upto") - F.col("__n") < F.col("__rest"))).select(
+        *groups, F.col("__prefix").alias("__edge"), (F.col("__rest") - F.col("__upto") + F.col("__n")).alias("__rest")
+    )
+    rows = near.select(*groups, "__hash", "__prefix")
+    return _by_group(rows, ends, groups).where(F.col("__prefix") == F.col("__edge"))
+
+
 def _by_group(left: DataFrame, right: DataFrame, groups: Sequence[str], how: str = "inner") -> DataFrame:
     """Adds the columns of a frame with one row per group; without groups, of its only row, as constants."""
     if groups:
@@ -78,7 +95,7 @@ def sampled(
 ) -> tuple[DataFrame, Column]:
     """The frame with its group limits attached, and the condition "this row is in the sample"."""
     limits = hash_limits(df if source is None else source, groups, keys, quota, seed, prefix)
-    joined = _by_group(df, small_side(limits) if groups else limits, list(groups))
+    joined = _by_group(df, limits, list(groups))
     return joined, hash_order(*keys, seed=seed) <= F.col("__limit")
 
 
@@ -119,7 +136,7 @@ def sample_cap(
     """At most `max_rows` per group (per wiki). With `exact=False` a row stays with probability max_rows / size."""
     if exact:
         return _keep(df, groups, keys, F.lit(max_rows), seed, prefix)
-    sizes = small_side(df.groupBy(*groups).agg(F.count(F.lit(1)).alias(GROUP_SIZE)))
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias(GROUP_SIZE))
     return null_safe_join(df, sizes, list(groups)).where(
         hash_uniform(*keys, seed=seed) < F.lit(float(max_rows)) / F.col(GROUP_SIZE)
     ).drop(GROUP_SIZE)

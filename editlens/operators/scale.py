@@ -1,40 +1,11 @@
-"""Building blocks that keep joins, running totals and exact samples spread over the cluster.
-
-Every one of them is exact; sizes only choose between two ways to the same result.
-"""
+"""Building blocks that keep joins, running totals and exact samples spread over the cluster. Every one of them is exact."""
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-
-BROADCAST_ROWS = 20_000
-ROWS_PER_TASK = 5_000_000
-COARSE = 32
-
-
-def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS):
-    """The rows of a small frame as an Arrow table, or None if it has more than `max_rows`.
-
-    At most `max_rows + 1` rows ever reach the driver, and partitions are run only until they are found.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return pa.Table.from_pylist([r.asDict(recursive=True) for r in rows], schema=to_arrow_schema(df.schema))
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join side with its size checked: a broadcast copy if it is small, else the frame as it is.
 
-    Beyond the bound Spark plans a shuffle join, whose hot keys adaptive execution splits.
-    """
-    table = bounded_rows(df, max_rows)
-    if table is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
+PER_OCTAVE = 512
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -44,35 +15,17 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _groups_fit(df: DataFrame, keys: Sequence[str], rows_per_task: int) -> bool:
-    """True if no group has more rows than one task may take.
+def value_bucket(value: Column) -> Column:
+    """A number that rises with the value and has at most 512 steps per power of two; null lowest, NaN highest.
 
-    The total row count, which a parquet scan takes from file footers, settles it for small frames.
+    It depends on the value alone, so buckets need no look at the data.
     """
-    if df.count() <= rows_per_task:
-        return True
-    if not keys:
-        return False
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] <= rows_per_task
-
-
-def _value_edges(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Per key up to COARSE² − 1 cut points of `order`, close to evenly filled. Any cut points give exact totals."""
-    n = COARSE * COARSE
-    fractions = [i / n for i in range(1, n)]
-    edges = df.groupBy(*keys).agg(
-        F.percentile_approx(order, fractions, F.lit(16 * n)).alias("__fine")
+    v = value.cast("double")
+    step = F.floor(F.least(F.log2(F.abs(v)) * PER_OCTAVE, F.lit(600_000.0))) + 1_000_000
+    return (
+        F.when(value.isNull(), F.lit(-10_000_000)).when(F.isnan(v), F.lit(10_000_000)).when(v == 0, F.lit(0))
+        .when(v < 0, -step).otherwise(step).cast("int")
     )
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda i: F.element_at("__fine", i * COARSE))
-    return edges.withColumn("__coarse", coarse)
-
-
-def _bucket(order: str) -> Column:
-    """Number of cut points below the value, counted in two steps of at most COARSE comparisons."""
-    below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(order)))
-    high = below(F.col("__coarse"))
-    low = below(F.slice(F.col("__fine"), high * COARSE + 1, F.lit(COARSE - 1)))
-    return high * COARSE + low
 
 
 def running(
@@ -82,39 +35,15 @@ def running(
     sums: Sequence[str] = (),
     maxes: Sequence[str] = (),
     descending: bool = False,
-    size_of: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Running totals and maxima along `order` within each key, plus totals per key.
 
-    `df` has one row per (keys, order). Adds `run_<c>` (this row included), and `all_<c>` for sums.
-    A group known to fit one task takes a plain window. Else the values are cut into up to 1,024 buckets:
-    running totals over the bucket totals, then within each bucket, so that no task sees a whole hot group.
-    `size_of` is a cheaper frame that bounds the group sizes (the rows `df` was aggregated from).
+    `df` has one row per (keys, order). Adds `run_<c>` (this row included), and `all_<c>` for sums. Values fall into
+    buckets: running totals over the bucket totals, then within each bucket, so that no task sees a whole group.
     """
     keys = list(keys)
-    sized = size_of if size_of is not None else df
     by = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    if _groups_fit(sized, keys, rows_per_task):
-        whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        path = whole.orderBy(by(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(
-            "*",
-            *[F.sum(c).over(path).alias(f"run_{c}") for c in sums],
-            *[F.max(c).over(path).alias(f"run_{c}") for c in maxes],
-            *[F.sum(c).over(whole).alias(f"all_{c}") for c in sums],
-        )
-
-    edges = _value_edges(sized, keys, order)
-    if keys:
-        cut = null_safe_join(df, small_side(edges, 2_000), keys)
-    else:
-        row = edges.first()
-        cut = df.withColumns({
-            "__fine": F.array(*map(F.lit, row["__fine"])), "__coarse": F.array(*map(F.lit, row["__coarse"])),
-        })
-    cut = cut.withColumn("__bucket", _bucket(order)).drop("__fine", "__coarse")
-
+    cut = df.withColumn("__bucket", value_bucket(F.col(order)))
     bucket_keys = [*keys, "__bucket"]
     totals = cut.groupBy(*bucket_keys).agg(
         *[F.sum(c).alias(f"__t_{c}") for c in sums], *[F.max(c).alias(f"__t_{c}") for c in maxes]
@@ -144,12 +73,11 @@ def exact_quantiles(
     keys: Sequence[str],
     column: str,
     probabilities: Sequence[float],
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Quantiles with linear interpolation, `q_0 … q_k` per key, from value counts and running totals."""
     rows = df.select(*keys, F.col(column).cast("double").alias("__v"))
     counts = rows.where(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running(counts, keys, "__v", sums=["__n"], size_of=rows, rows_per_task=rows_per_task)
+    ranked = running(counts, keys, "__v", sums=["__n"])
     found, at = [], []
     for i, p in enumerate(probabilities):
         rank = (F.col("all___n") - 1) * F.lit(float(p))
@@ -164,9 +92,9 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(F.max("all___n").alias("__all"), *found).select(*keys, *at)
 
 
-def average_ranks(df: DataFrame, column: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def average_ranks(df: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column with their rank; tied rows share the mean of their ranks."""
     rows = df.select(column)
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running(counts, [], column, sums=["n"], size_of=rows, rows_per_task=rows_per_task)
+    ranked = running(counts, [], column, sums=["n"])
     return ranked.select(column, (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))

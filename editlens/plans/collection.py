@@ -25,7 +25,7 @@ class CollectionSettings:
     wikis: tuple[str, ...] | None = None
     drop_revert_wars: bool = False
     anonymous_only: bool = False
-    max_rows_per_wiki: int | None = 300_000
+    max_rows_per_wiki: int | None = None
 
 
 def filtered_revisions(history: DataFrame, settings: CollectionSettings = CollectionSettings()) -> DataFrame:

@@ -16,7 +16,7 @@ def long_scores(test: DataFrame, models: dict[str, str], ids: list[str] | None =
     return joins.unpivot_scores(test, ids, models)
 
 
-def evaluate(test: DataFrame, models: dict[str, str], reference: str, min_rows: int = 10_000) -> dict[str, DataFrame]:
+def evaluate(test: DataFrame, models: dict[str, str], reference: str, min_rows: int = 0) -> dict[str, DataFrame]:
     """All result tables. Rows are balanced first and then narrowed to those the reference system has scored."""
     test = materialize(test.withColumn("__anonymous", is_true(F.col(S.ANONYMOUS)).cast("double")), "test")
     models = models | {"__anonymous": "baseline"}

@@ -156,6 +156,8 @@ REVISION_CSV = T.StructType([
     T.StructField(REVERTER_REVERTED, T.BooleanType()),
     T.StructField("is_reverted_by_good_user", T.IntegerType()),
     *[T.StructField(f, T.IntegerType()) for f in TAG_FLAGS],
+    # lists written as literals; functions.text decodes them
+    *[T.StructField(f, T.StringType()) for f in ("texts_removed", "texts_insert", "texts_change", "actions")],
 ])
 
 SCORES_CSV = T.StructType([

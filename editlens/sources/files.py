@@ -1,8 +1,10 @@
 """Files between stages: parquet first, CSV for exchange, always with a declared schema."""
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,10 +37,17 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True if a finished dump is at the path, on whatever file system it names."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    """True if a finished dump is at the path, on whatever file system it names.
+
+    Spark's reader looks for the marker that its writer leaves at the end; the marker's content is not read.
+    """
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").schema  # noqa: B018
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def cached_scan(spark: SparkSession, path: str, build: Callable[[], DataFrame], use_cache: bool = True) -> DataFrame:
@@ -51,8 +60,25 @@ def cached_scan(spark: SparkSession, path: str, build: Callable[[], DataFrame],
 def read_csv_dataset(
     spark: SparkSession, paths: str | Iterable[str], schema: T.StructType = S.REVISION_CSV
 ) -> DataFrame:
-    """CSV files with header, quoted multi-line texts and a declared schema; a path, a glob or a list."""
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(paths if isinstance(paths, str) else list(paths))
+    """CSV files with header and quoted multi-line texts as a frame of the declared schema; a path, a glob or a list.
+
+    Columns are found by their names in each path's header, in whatever order; one that a path lacks is null there.
+    Values that do not fit their type are null; whole numbers may be written with a decimal point.
+    """
+    frames = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        raw = spark.read.options(**CSV_OPTIONS).csv(path)
+        frames.append(raw.select(*[
+            (_typed(F.col(f"`{f.name}`"), f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema
+        ]))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _typed(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
+    return text.try_cast(kind)
 
 
 def read_many_union(

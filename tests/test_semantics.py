@@ -192,3 +192,35 @@ def test_decoding_of_written_lists(spark):
     assert got[3]["t"] is None
     back = spark.createDataFrame([(texts,)], "t array<string>").select(decode_strings(encode_strings(F.col("t")))).first()[0]
     assert back == texts
+
+
+def test_exchange_file_is_matched_by_header(spark, tmp_path):
+    from editlens.functions.text import decode_counts, decode_pairs, decode_strings
+    from editlens.sources import files
+
+    (tmp_path / "a.csv").write_text(
+        "revision_id,texts_insert,wiki_db,texts_change,actions,revision_is_identity_reverted,more\n"
+        "7.0,\"['finance', 'a, b']\",enwiki,\"[('x', 'y')]\",\"{'insert_Word': 2}\",1,z\n"
+        "8,\"('banana', 'b')\",dewiki,,,bad,z\n9,\"['a']['b']\",frwiki,[],{},0,z\n"
+    )
+    rows = files.read_csv_dataset(spark, str(tmp_path / "a.csv"))
+    assert rows.columns == [f.name for f in S.REVISION_CSV] and rows.where("event_comment IS NOT NULL").count() == 0
+    got = rows.orderBy("revision_id").select(
+        "revision_id", "wiki_db", "revision_is_identity_reverted", decode_strings(F.col("texts_insert")).alias("t"),
+        decode_pairs(F.col("texts_change")).alias("p"), decode_counts(F.col("actions")).alias("a"),
+    ).collect()
+    assert [tuple(r[:4]) for r in got] == [
+        (7, "enwiki", 1, ["finance", "a, b"]), (8, "dewiki", None, ["banana", "b"]), (9, "frwiki", 0, None)
+    ]
+    assert [tuple(p) for p in got[0].p] == [("x", "y")] and got[0].a == {"insert_Word": 2} and got[2].p == []
+
+
+def test_categories_beyond_the_default_bins(spark):
+    from editlens.models import classifier as C
+
+    rows = spark.range(1500).select(
+        F.col("id").alias("revision_id"), F.lit("enwiki").alias("wiki_db"), F.concat(F.lit("c"), F.col("id") % 240).alias("country"),
+        F.col("id").cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias(S.LABEL),
+    )
+    model, scored = C.train_and_test(rows, ["country", "x"], ["country"], settings=C.TrainingSettings(rounds=1, depth=2))
+    assert 0 < scored.count() < 400 and model.stages[-1].getMaxBins() > 240
