@@ -157,7 +157,11 @@ _ACTION_COLUMNS = ", ".join(
 )
 
 
-@query(f"""WITH ch AS MATERIALIZED (SELECT * FROM pairs WHERE revision_text <> parent_text), {_actions_sql('ch', elements.WIKITEXT_PATTERNS, 0)}
+# The oracle's engine has no possessive loops.
+_SQL_PATTERNS = elements.WIKITEXT_PATTERNS | {"Paragraph": r"[^\n]+(?:\n[^\n]+)*"}
+
+
+@query(f"""WITH ch AS MATERIALIZED (SELECT * FROM pairs WHERE revision_text <> parent_text), {_actions_sql('ch', _SQL_PATTERNS, 0)}
 SELECT revision_id, {_ACTION_COLUMNS} FROM a GROUP BY revision_id""")
 def edit_action_counts(t: Tables):
     from editlens.operators.revisions import expand_actions

@@ -24,7 +24,7 @@ WIKITEXT_PATTERNS = {
     "Heading": r"(?m)^=+[^=\n]+=+",
     "List": r"(?m)^[*#:;][^\n]*",
     "Media": r"\[\[(?i:file|image|media):[^\[\]]*\]\]",
-    "Paragraph": r"[^\n]+(?:\n[^\n]+)*",
+    "Paragraph": r"[^\n]++(?:\n[^\n]++)*+",  # possessive: the loop then needs no stack per line
     "Punctuation": r"[.,;:!?]",
     "Reference": r"(?is)<ref[^>/]*>.*?</ref>|<ref[^>]*/>",
     "Section": r"(?m)^==[^=\n]+==",

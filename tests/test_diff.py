@@ -175,3 +175,10 @@ def test_required_text_never_hides_a_match(spark):
     assert fast.exceptAll(plain).count() == 0 and plain.exceptAll(fast).count() == 0
     found = {r["type"] for r in fast.where("revision_id = 1").select("type").distinct().collect()}
     assert found == set(S.CONTENT_TYPES)
+
+
+def test_long_page_of_lines(spark):
+    lines = "\n".join(f"* line {i} of a list" for i in range(100_000))
+    df = spark.createDataFrame([("a", 1, lines, lines + "\n* one more")], "wiki_db string, revision_id long, parent_text string, revision_text string")
+    actions = elements.edit_action_counts(df).first()["actions"]
+    assert actions["change_Paragraph"] == 1 and actions["insert_List"] == 1
