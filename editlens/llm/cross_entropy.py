@@ -133,7 +133,8 @@ def learn(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY) -> tuple[
     """
     vocabulary = shared_vocabulary(docs, size)
     marks = targets.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    texts = docs.select("doc_id", "text").join(marks, "doc_id", "left")
+    # labels grow with the documents, so the join shuffles both sides at any size
+    texts = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left")
     found = count_pairs(texts, vocabulary, size).toArrow()
     sums = np.zeros((2, size * size), np.float64)
     at = found.column("pair").to_numpy()
