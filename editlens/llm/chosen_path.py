@@ -2,10 +2,11 @@
 
 A document is the set of its five-word shingles; equal sets are joined first. Every set follows paths in independent
 random trees: a node picks a few of the set's minwise tokens and each picked token leads to a child, so similar sets keep
-meeting. Nodes of at most `small` sets are compared exhaustively; larger ones first compare all members with a few of
+meeting. Nodes of at most `SMALL` sets are compared exhaustively; larger ones first compare all members with a few of
 them, then branch on. Sets that are known to be connected need no further comparison, which settles nodes full of near
 copies; a node that one group fills but for a few sets is finished by comparing those few with all, in blocks. Candidates
-pass an estimate from 256 minwise bytes and are then confirmed on the full sets.
+pass an estimate from 256 minwise bytes. They travel as lists between blocks of 256 neighbouring sets, where they are
+confirmed on the full sets, likeliest first; what is connected by then is not compared again.
 
 Only node numbers, set numbers and sketches move; shingles of candidates alone are recomputed from their texts. Nothing is
 collected: links and components stay tables.
@@ -24,7 +25,7 @@ from editlens.session import materialize
 
 WORDS, PERCENT = 5, 85
 MARKS, SKETCH = 64, 256
-TREES, FAN, SMALL, PIVOTS = 5, 2, 128, 3
+TREES, FAN, SMALL, PIVOTS = 5, 2, 2048, 2
 #: A pair passes with so many of the 256 bytes equal. At a similarity of 0.85 fewer than 188 come up about once in a
 #: million pairs, and five trees with two branches each lose about three in a hundred million.
 PASS = 188
@@ -142,10 +143,10 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
-def _alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Whether two sets may be linked, by size and sketch."""
+def _equal(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Equal bytes of the sketches; 0 where the sizes alone rule a link out."""
     sizes = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
-    return sizes & ((a == b).sum(axis=-1) >= PASS)
+    return np.where(sizes, (a == b).sum(axis=-1), 0)
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -153,23 +154,44 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that pass the estimate."""
+    """The pairs (a, b) that pass the estimate, as lists between blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                good = _alike(
-                    _sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b")),
-                    batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(),
-                )
-                yield batch.select(["a", "b"]).filter(pa.array(good))
+                a, b, n_a, n_b = (batch.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b"))
+                equal = _equal(_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b")), n_a, n_b)
+                good = equal >= PASS
+                if good.any():
+                    yield _lists(a[good], b[good], equal[good])
 
     of = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     sized = F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(sized).mapInArrow(run, "a long, b long")
-
-
-def _ordered(one: str, two: str) -> list[Column]:
-    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(sized).mapInArrow(run, _LISTS)
+
+
+_LISTS = "ga long, gb long, pairs binary, sids array<long>"
+_PAIR = np.dtype([("a", np.uint8), ("b", np.uint8), ("miss", np.uint16)])
+
+
+def _lists(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> pa.RecordBatch:
+    """Pairs of set numbers (one at least) as one list for each pair of blocks: places in the blocks, how many bytes differ, and the sets."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    ga, gb = low >> BLOCK_BITS, high >> BLOCK_BITS
+    order = np.lexsort((gb, ga))
+    ga, gb = ga[order], gb[order]
+    pairs = np.empty(len(order), _PAIR)
+    mask = (1 << BLOCK_BITS) - 1
+    pairs["a"], pairs["b"], pairs["miss"] = low[order] & mask, high[order] & mask, SKETCH - equal[order]
+    low, high = low[order], high[order]
+    starts = np.flatnonzero(np.concatenate([[True], (ga[1:] != ga[:-1]) | (gb[1:] != gb[:-1])]))
+    spans = list(zip(starts, [*starts[1:], len(order)], strict=True))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(ga[starts]), pa.array(gb[starts]), pa.array([pairs[i:j].tobytes() for i, j in spans], pa.binary()),
+            pa.array([np.unique(np.concatenate([low[i:j], high[i:j]])) for i, j in spans], pa.list_(pa.int64())),
+        ],
+        ["ga", "gb", "pairs", "sids"],
+    )
 
 
 def _star_pairs(large: DataFrame) -> DataFrame:
@@ -179,7 +201,7 @@ def _star_pairs(large: DataFrame) -> DataFrame:
         *[F.struct(F.col(f"p{k}.sid").alias("pivot"), F.col(f"p{k}.label").alias("pivot_label")) for k in range(PIVOTS)]
     ))).alias("p")).select("node", "p.*")
     met = large.join(pivots, "node").where("sid <> pivot AND label <> pivot_label")
-    return met.select(*_ordered("sid", "pivot")).distinct()
+    return met.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
 
 
 def _exhaustive(mixed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,27 +219,28 @@ def _exhaustive(mixed: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_all, b_all = [], []
             for k in range(batch.num_rows):
                 members = batch.column("m")[k].values
                 sid, label, few, n = (members.field(f).to_numpy(zero_copy_only=False) for f in ("sid", "label", "few", "n"))
                 sketch = _sketches(members.field("sketch"))
+                found = []
                 for i in np.flatnonzero(few):
                     others = np.flatnonzero((label != label[i]) & (~few | (np.arange(len(sid)) > i)))
-                    others = others[_alike(sketch[others], sketch[i], n[others], n[i])]
-                    a_all.append(np.minimum(sid[others], sid[i]))
-                    b_all.append(np.maximum(sid[others], sid[i]))
-            if a_all:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_all)), pa.array(np.concatenate(b_all))], ["a", "b"])
+                    equal = _equal(sketch[others], sketch[i], n[others], n[i])
+                    good = equal >= PASS
+                    if good.any():
+                        found.append((np.full(good.sum(), sid[i]), sid[others[good]], equal[good]))
+                if found:
+                    yield _lists(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    return grouped.where(F.size("m") > 1).select("m").mapInArrow(run, "a long, b long").distinct()
+    return grouped.where(F.size("m") > 1).select("m").mapInArrow(run, _LISTS)
 
 
 class _Confirm:
     """Confirms pairs on full sets. Shingles of a set are computed from its text once and kept as a table."""
 
     def __init__(self, docs: DataFrame, sets: DataFrame):
-        self.docs, self.sets, self.known, self.checked = docs.select("doc_id", "text"), sets, None, None
+        self.docs, self.sets, self.known = docs.select("doc_id", "text"), sets, None
 
     def _fetch(self, sids: DataFrame) -> None:
         new = sids if self.known is None else sids.join(self.known.select("sid"), "sid", "left_anti")
@@ -241,34 +264,50 @@ class _Confirm:
         found = materialize(found.groupBy("sid").agg(F.first("shingles").alias("shingles")), "shingles")
         self.known = found if self.known is None else self.known.unionByName(found)
 
-    def __call__(self, pairs: DataFrame) -> DataFrame | None:
-        """The linked ones among the pairs that were not looked at before; None if there is nothing new."""
-        if self.checked is not None:
-            pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
+    def __call__(self, lists: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        """Links (a, b) that connect what the confirmed pairs connect; None if there are no pairs at all.
+
+        Within two blocks, pairs are looked at from the likeliest on; one whose sets are connected by then is left out.
+        """
+        lists = materialize(lists, "lists")
+        if lists.isEmpty():
             return None
-        self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
-        self._fetch(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-        block = lambda c: F.shiftright(F.col(c), BLOCK_BITS)
-        placed = pairs.select("a", "b", block("a").alias("ga"), block("b").alias("gb"))
-        members = placed.select(F.col("ga").alias("ha"), F.col("gb").alias("hb"), F.explode(F.array("a", "b")).alias("sid")).distinct().join(self.known, "sid")
+        named = lists.select(F.col("ga").alias("ha"), F.col("gb").alias("hb"), F.explode("sids").alias("sid")).distinct()
+        named = materialize(_labelled(named, labels), "named")
+        self._fetch(named.select("sid").distinct())
+        members = named.join(self.known, "sid")
 
         def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-            sets = {s: np.frombuffer(h, np.uint64) for s, h in zip(right["sid"].to_pylist(), right["shingles"].to_pylist(), strict=True)}
-            a, b = left["a"].to_pylist(), left["b"].to_pylist()
+            sids = right["sid"].to_pylist()
+            sets = {s: np.frombuffer(h, np.uint64) for s, h in zip(sids, right["shingles"].to_pylist(), strict=True)}
+            of = dict(zip(sids, right["label"].to_pylist(), strict=True))
+            parent = {label: label for label in of.values()}
+
+            def root(s: int) -> int:
+                at = of[s]
+                while parent[at] != at:
+                    parent[at] = at = parent[parent[at]]
+                return at
+
+            pairs = np.unique(np.frombuffer(b"".join(left["pairs"].to_pylist()), _PAIR))
+            ga, gb = (left[c][0].as_py() << BLOCK_BITS for c in ("ga", "gb"))
             linked = []
-            for x, y in zip(a, b, strict=True):
+            for a, b, _ in pairs[np.argsort(pairs["miss"], kind="stable")].tolist():
+                x, y = ga + a, gb + b
+                if (at := root(x)) == (to := root(y)):
+                    continue
                 p, q = sets[x], sets[y]
                 if len(p) > len(q):
                     p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                both = int((q[at] == p).sum())
-                linked.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            return left.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-        found = placed.groupBy("ga", "gb").cogroup(members.groupBy("ha", "hb")).applyInArrow(compare, "a long, b long")
+                spots = np.searchsorted(q, p)
+                spots[spots == len(q)] = 0
+                both = int((q[spots] == p).sum())
+                if 100 * both >= PERCENT * (len(p) + len(q) - both):
+                    parent[at] = to
+                    linked.append((x, y))
+            return pa.table({k: pa.array([x[i] for x in linked], pa.int64()) for i, k in enumerate("ab")})
+
+        found = lists.select("ga", "gb", "pairs").groupBy("ga", "gb").cogroup(members.groupBy("ha", "hb")).applyInArrow(compare, "a long, b long")
         return materialize(found, "links")
 
 
@@ -292,7 +331,7 @@ def link_sets(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
 
     def take(pairs: DataFrame) -> None:
         nonlocal links, labels
-        new = confirm(pairs)
+        new = confirm(pairs, labels)
         if new is not None and not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = components(links)
