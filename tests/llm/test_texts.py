@@ -266,7 +266,8 @@ def test_toxic_texts_are_found(spark, labelled):
 def test_labels_of_held_out_rows_change_nothing(labelled):
     docs, labels = labelled
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    assert toxicity.learn(docs, flipped) == toxicity.learn(docs, labels)
+    one, other = toxicity.learn(docs, flipped), toxicity.learn(docs, labels)
+    assert one.lexicon == other.lexicon and one.weights == pytest.approx(other.weights) and one.bias == pytest.approx(other.bias)
 
 
 def test_no_labels_no_scores(awkward, empty, labelled):
