@@ -61,12 +61,14 @@ Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def score_fragments(fragments: DataFrame, scorer: Scorer, batches: int | None = None) -> DataFrame:
-    """Runs a batch scorer on distinct fragments. It takes (text, text_pair) and returns columns s_0, s_1."""
+    """Runs a batch scorer on distinct fragments. It takes (text, text_pair) and returns columns s_0 and, if it has two
+    outputs, s_1 (null otherwise)."""
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = scorer(frame[FRAGMENT_COLUMNS])
-            yield frame[FRAGMENT_COLUMNS].assign(s_0=out["s_0"].to_numpy(), s_1=out["s_1"].to_numpy())
+            second = out["s_1"].to_numpy() if "s_1" in out else [None] * len(out)
+            yield frame[FRAGMENT_COLUMNS].assign(s_0=out["s_0"].to_numpy(), s_1=pd.Series(second, index=frame.index, dtype="float64"))
 
     ordered = sort_by_length(fragments.select(*FRAGMENT_COLUMNS), batches)
     return ordered.mapInPandas(score, "text string, text_pair string, s_0 double, s_1 double")

@@ -97,15 +97,24 @@ def semi_join_topk(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 
 def join_dimension(df: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of a side table, broadcast if its size allows."""
+    """Left join of a side table; Spark broadcasts it if its size allows."""
     return df.join(dimension, list(keys), "left")
 
 
+def _left_join_spread(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Left join on one key; rows without the key are dealt to many tasks instead of meeting in the null key's."""
+    spread = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1024))).otherwise(F.lit(0))
+    dealt = side.withColumn("__deal", F.lit(0).cast("long"))
+    return df.withColumn("__deal", spread.cast("long")).join(dealt, [key, "__deal"], "left").select(
+        *df.columns, *[c for c in side.columns if c != key]
+    )
+
+
 def join_page_region(df: DataFrame, regions: DataFrame, title: str = S.TITLE, region: str = "page_region") -> DataFrame:
     """Region per page, resolved once per title and mapped back; missing → `Unknown`."""
     wanted = df.select(title).distinct()
     resolved = regions.join(wanted, title, "left_semi").groupBy(title).agg(F.min(region).alias(region))
-    return df.join(resolved, title, "left").withColumn(region, F.coalesce(region, F.lit("Unknown")))
+    return _left_join_spread(df, resolved, title).withColumn(region, F.coalesce(region, F.lit("Unknown")))
 
 
 def join_ip_range(
@@ -128,7 +137,7 @@ def join_ip_range(
         F.min_by(F.struct(*attributes), F.struct(F.col("ip_end") - F.col("ip_start"), "ip_start")).alias("__hit")
     )
     resolved = narrowest.select(address, *[F.col(f"__hit.{a}").alias(a) for a in attributes])
-    return df.join(resolved, address, "left")
+    return _left_join_spread(df, resolved, address)
 
 
 def unpivot_scores(df: DataFrame, ids: Sequence[str], models: dict[str, str]) -> DataFrame:

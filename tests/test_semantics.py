@@ -224,3 +224,13 @@ def test_categories_beyond_the_default_bins(spark):
     )
     model, scored = C.train_and_test(rows, ["country", "x"], ["country"], settings=C.TrainingSettings(rounds=1, depth=2))
     assert 0 < scored.count() < 400 and model.stages[-1].getMaxBins() > 240
+
+
+def test_scorer_with_one_output(spark):
+    import pandas as pd
+
+    from editlens.operators import fragments as Fr
+
+    texts = spark.createDataFrame([("a", None), ("bb", "c")], "text string, text_pair string")
+    scored = Fr.score_fragments(texts, lambda f: pd.DataFrame({"s_0": f["text"].str.len() / 2}))
+    assert {tuple(r) for r in scored.select("text", "s_0", "s_1").collect()} == {("a", 0.5, None), ("bb", 1.0, None)}
