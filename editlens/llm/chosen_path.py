@@ -272,7 +272,8 @@ class _Confirm:
         lists = materialize(lists, "lists")
         if lists.isEmpty():
             return None
-        named = lists.select(F.col("ga").alias("ha"), F.col("gb").alias("hb"), F.explode("sids").alias("sid")).distinct()
+        met = lists.groupBy(F.col("ga").alias("ha"), F.col("gb").alias("hb")).agg(F.array_distinct(F.flatten(F.collect_list("sids"))).alias("sids"))
+        named = met.select("ha", "hb", F.explode("sids").alias("sid"))  # at most two blocks of sets
         named = materialize(_labelled(named, labels), "named")
         self._fetch(named.select("sid").distinct())
         members = named.join(self.known, "sid")
