@@ -36,7 +36,8 @@ REPORTING = frozenset("said says wrote called quote quoted quotes sagte schrieb
 WORD = re.compile(r"[^\W_]+")
 THRESHOLD = 0.7
 FEATURES = 4
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
+PENDING = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -240,7 +241,7 @@ def _first_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each word of a text and each word beginning (marked `*`) once, with a hash of the word before its first use."""
     for batch in batches:
         toxic, found, before = [], [], []
-        for text, label in zip(batch.column("text"), batch.column("toxic"), strict=True):
+        for k, (text, label) in enumerate(zip(batch.column("text"), batch.column("toxic"), strict=True)):
             words = WORD.findall((text.as_py() or "").lower())
             first = {}
             for w, b in zip(words, ["", *words[:-1]], strict=True):
@@ -252,10 +253,12 @@ def _first_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found += first
             before += first.values()
             toxic += [label.as_py()] * len(first)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(toxic, pa.int32()), pa.array(found, pa.string()), pa.array(np.array(before, np.uint32).view(np.int32))],
-            ["toxic", "word", "before"],
-        )
+            if len(found) > PENDING or k == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(toxic, pa.int32()), pa.array(found, pa.string()), pa.array(np.array(before, np.uint32).view(np.int32))],
+                    ["toxic", "word", "before"],
+                )
+                toxic, found, before = [], [], []
 
 
 def learn_lexicon(rows: DataFrame, entries: int = ENTRIES) -> dict[tuple[str, bool], float]:
