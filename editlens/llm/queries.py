@@ -87,8 +87,7 @@ def op3_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
 def op4_cross_entropy_difference(spark: SparkSession, folder: str) -> DataFrame:
     """The target is every document labelled as good; the background is the whole corpus."""
     docs = _table(spark, folder, "documents")
-    model = cross_entropy.learn(docs, _table(spark, folder, "labels").where("quality = 1"))
-    return cross_entropy.with_score(docs, ["doc_id"], model)
+    return cross_entropy.score_corpus(docs, _table(spark, folder, "labels").where("quality = 1"), ["doc_id"])
 
 
 @query()

@@ -183,6 +183,51 @@ def test_no_target_no_difference(awkward, empty):
     assert cross_entropy.with_score(empty, ["doc_id"], cross_entropy.learn(empty, empty)).count() == 0
 
 
+def corpus_by_hand(texts, is_target):
+    words = [[w for w in (t or "").encode().lower().split()] for t in texts]
+    pairs = [list(zip([b"", *w], [*w, b""], strict=True)) if w else [] for w in words]
+    size = len({p[1] for found in pairs for p in found})
+    background = Counter(p for found in pairs for p in found)
+    target = Counter(p for found, mine in zip(pairs, is_target, strict=True) if mine for p in found) or background
+    scale = sum(target.values()) / sum(background.values())
+
+    def losses(counts, factor):
+        ends, starts, total = Counter(), Counter(), sum(counts.values()) * factor + 0.5 * size
+        for (a, b), n in counts.items():
+            starts[a] += n * factor
+            ends[b] += n * factor
+        return lambda p: -log((counts[p] * factor + 100 * (ends[p[1]] + 0.5) / total) / (starts[p[0]] + 100))
+
+    one, other = losses(target, 1), losses(background, scale)
+    return [(len(w), sum(map(one, p)) / len(p), sum(map(other, p)) / len(p)) if p else (0, None, None) for w, p in zip(words, pairs, strict=True)]
+
+
+@pytest.mark.parametrize("bucket_tokens", [40, 2000, cross_entropy.BUCKET_TOKENS])
+def test_every_word_has_counts_of_its_own(spark, bucket_tokens, monkeypatch):
+    # 6,000 words that only targets use and 6,000 that only others use, all of one shape: classes cannot tell them apart
+    texts = [" ".join(f"the {'ab'[i % 2]}{k:06d}" for k in range(100 * (i // 4), 100 * (i // 4) + 100)) for i in range(240)]
+    texts += [None, " ", "The the THE", "日本語のテキスト"]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, score int").repartition(5)
+    targets = spark.createDataFrame([(i,) for i in range(0, 240, 2)] + [(None,), (2,)], "doc_id long")
+    monkeypatch.setattr(cross_entropy, "CHUNK_DOCS", 17)
+    rows = cross_entropy.score_corpus(docs, targets, ["doc_id", "text"], bucket_tokens).collect()
+    want = corpus_by_hand(texts, [i < 240 and i % 2 == 0 for i in range(len(texts))])
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        n, target, background = want[r.doc_id]
+        assert r.text == texts[r.doc_id] and r.n_tokens == n
+        assert r.target_loss == (target and pytest.approx(target, abs=1e-5)) and r.background_loss == (background and pytest.approx(background, abs=1e-5))
+        assert r.score == pytest.approx((background or 0) - (target or 0), abs=1e-5)
+        if r.doc_id < 240:
+            assert (r.score > 0) == (r.doc_id % 2 == 0)
+
+
+def test_corpus_scores_of_odd_tables(awkward, empty):
+    rows = cross_entropy.score_corpus(awkward, empty, ["doc_id", "size"]).collect()
+    assert len(rows) == awkward.count() and all(r[5] == 0 for r in rows)
+    assert cross_entropy.score_corpus(empty, empty, ["doc_id"]).count() == 0
+
+
 # --- toxicity
 
 
