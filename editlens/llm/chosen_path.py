@@ -14,6 +14,8 @@ collected: links and components stay tables.
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,13 @@ from pyspark.sql import functions as F
 
 from editlens.session import materialize
 
-WORDS, PERCENT = 5, 85
+WORDS = 5
+#: Least similarity of a link in percent: of the query by its contract, of a stage without one.
+PERCENT, STAGE_PERCENT = 85, 80
 MARKS, SKETCH = 64, 256
-TREES, FAN, SMALL, PIVOTS = 5, 2, 2048, 2
-#: A pair passes with so many of the 256 bytes equal. At a similarity of 0.85 fewer than 188 come up about once in a
-#: million pairs, and five trees with two branches each lose about three in a hundred million.
-PASS = 188
+FAN, SMALL, PIVOTS = 2, 2048, 2
+#: The share of pairs at the least similarity that the estimate and the trees may lose.
+MISSED, LOST = 1e-6, 2e-6
 BLOCK_BITS = 8
 BROADCAST_IDS = 500_000
 _MEMO = 500_000
@@ -37,7 +40,30 @@ _rng = np.random.default_rng(20240501)
 _MUL = (_rng.integers(0, 1 << 31, SKETCH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
 _PLACES = _rng.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ROOTS = [int(p) for p in _rng.permutation(MARKS)[: TREES * FAN]]
+_ROOTS = [int(p) for p in _rng.permutation(MARKS)]
+
+
+def _binomial(n: int, p: float) -> list[float]:
+    return [comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+
+
+@lru_cache
+def least_equal(percent: int) -> int:
+    """A pair passes with so many of the 256 bytes equal; one at the least similarity has fewer once in a million."""
+    share = percent / 100
+    below = np.cumsum(_binomial(SKETCH, share + (1 - share) / 256))
+    return int((below <= MISSED).sum())
+
+
+@lru_cache
+def trees(percent: int) -> int:
+    """So many trees that all of them lose a pair at the least similarity about twice in a million.
+
+    With a share f of the 64 tokens in common, a tree of two branches loses the pair at any depth with ((1 - f) / f)².
+    """
+    many = _binomial(MARKS, percent / 100)
+    lost = [1.0 if 2 * k <= MARKS else ((MARKS - k) / k) ** 2 for k in range(MARKS + 1)]
+    return next((n for n in range(1, MARKS // FAN) if sum(m * q**n for m, q in zip(many, lost, strict=True)) <= LOST), MARKS // FAN)
 
 
 class _WordHashes(dict):
@@ -116,8 +142,8 @@ def _token(at: Column) -> Column:
     return F.substring(F.col("marks"), at * 4 + 1, F.lit(4))
 
 
-def _roots(sets: DataFrame) -> DataFrame:
-    first = [F.xxhash64(F.lit(i // FAN), F.lit(p), _token(F.lit(p))) for i, p in enumerate(_ROOTS)]
+def _roots(sets: DataFrame, percent: int) -> DataFrame:
+    first = [F.xxhash64(F.lit(i // FAN), F.lit(p), _token(F.lit(p))) for i, p in enumerate(_ROOTS[: trees(percent) * FAN])]
     return sets.select(F.explode(F.array(*first)).alias("node"), "sid")
 
 
@@ -143,9 +169,9 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
-def _equal(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def _equal(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Equal bytes of the sketches; 0 where the sizes alone rule a link out."""
-    sizes = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+    sizes = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
     return np.where(sizes, (a == b).sum(axis=-1), 0)
 
 
@@ -153,19 +179,21 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
-def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the estimate, as lists between blocks."""
+    least = least_equal(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b, n_a, n_b = (batch.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b"))
-                equal = _equal(_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b")), n_a, n_b)
-                good = equal >= PASS
+                equal = _equal(_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b")), n_a, n_b, percent)
+                good = equal >= least
                 if good.any():
                     yield _lists(a[good], b[good], equal[good])
 
     of = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    sized = F.expr(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    sized = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return pairs.join(of("a"), "a").join(of("b"), "b").where(sized).mapInArrow(run, _LISTS)
 
 
@@ -204,12 +232,13 @@ def _star_pairs(large: DataFrame) -> DataFrame:
     return met.select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b")).distinct()
 
 
-def _exhaustive(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+def _exhaustive(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Likely pairs of differently labelled sets in small nodes, and of the few with all in nodes that one group fills.
 
     `mixed` has node, sid, label, few (not of the filling group) and n_sets. Large nodes are cut into blocks of the
     filling group, each with all of the few, so a compared block has at most twice `SMALL` sets.
     """
+    least = least_equal(percent)
     blocks = F.when(F.col("n_sets") <= SMALL, 1).otherwise(F.ceil(F.col("n_sets") / SMALL)).cast("int")
     own = F.when(blocks == 1, F.array(F.lit(0))).when(
         F.col("few"), F.sequence(F.lit(0), blocks - 1)
@@ -226,8 +255,8 @@ def _exhaustive(mixed: DataFrame, sets: DataFrame) -> DataFrame:
                 found = []
                 for i in np.flatnonzero(few):
                     others = np.flatnonzero((label != label[i]) & (~few | (np.arange(len(sid)) > i)))
-                    equal = _equal(sketch[others], sketch[i], n[others], n[i])
-                    good = equal >= PASS
+                    equal = _equal(sketch[others], sketch[i], n[others], n[i], percent)
+                    good = equal >= least
                     if good.any():
                         found.append((np.full(good.sum(), sid[i]), sid[others[good]], equal[good]))
                 if found:
@@ -239,8 +268,8 @@ def _exhaustive(mixed: DataFrame, sets: DataFrame) -> DataFrame:
 class _Confirm:
     """Confirms pairs on full sets. Shingles of a set are computed from its text once and kept as a table."""
 
-    def __init__(self, docs: DataFrame, sets: DataFrame):
-        self.docs, self.sets, self.known = docs.select("doc_id", "text"), sets, None
+    def __init__(self, docs: DataFrame, sets: DataFrame, percent: int):
+        self.docs, self.sets, self.known, self.percent = docs.select("doc_id", "text"), sets, None, percent
 
     def _fetch(self, sids: DataFrame) -> None:
         new = sids if self.known is None else sids.join(self.known.select("sid"), "sid", "left_anti")
@@ -276,7 +305,7 @@ class _Confirm:
         named = met.select("ha", "hb", F.explode("sids").alias("sid"))  # at most two blocks of sets
         named = materialize(_labelled(named, labels), "named")
         self._fetch(named.select("sid").distinct())
-        members = named.join(self.known, "sid")
+        members, percent = named.join(self.known, "sid"), self.percent
 
         def compare(left: pa.Table, right: pa.Table) -> pa.Table:
             sids = right["sid"].to_pylist()
@@ -303,7 +332,7 @@ class _Confirm:
                 spots = np.searchsorted(q, p)
                 spots[spots == len(q)] = 0
                 both = int((q[spots] == p).sum())
-                if 100 * both >= PERCENT * (len(p) + len(q) - both):
+                if 100 * both >= percent * (len(p) + len(q) - both):
                     parent[at] = to
                     linked.append((x, y))
             return pa.table({k: pa.array([x[i] for x in linked], pa.int64()) for i, k in enumerate("ab")})
@@ -326,9 +355,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_sets(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
+def link_sets(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Component labels of all linked sets (sid, label); None if no two different sets are linked."""
-    confirm, links, labels = _Confirm(docs, sets), None, None
+    confirm, links, labels = _Confirm(docs, sets, percent), None, None
 
     def take(pairs: DataFrame) -> None:
         nonlocal links, labels
@@ -337,11 +366,11 @@ def link_sets(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
             links = new if links is None else links.unionByName(new)
             labels = components(links)
 
-    rows = materialize(_shared(_roots(sets)), "nodes")
+    rows = materialize(_shared(_roots(sets, percent)), "nodes")
     while not rows.isEmpty():
         large = rows.where(F.col("n_sets") > SMALL)
         if not large.isEmpty():
-            take(_likely(_star_pairs(_labelled(large, labels)), sets))
+            take(_likely(_star_pairs(_labelled(large, labels)), sets, percent))
         labelled = materialize(_labelled(rows, labels), "labelled")
         parts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
         kinds = parts.groupBy("node").agg(F.max(F.struct("c", "label")).alias("top")).select("node", F.col("top.c").alias("most"), F.col("top.label").alias("filling"))
@@ -349,13 +378,13 @@ def link_sets(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
         is_small = F.col("n_sets") <= SMALL
         done = is_small | (F.col("n_sets") - F.col("most") <= SMALL)
         few = is_small | (F.col("label") != F.col("filling"))
-        take(_exhaustive(mixed.where(done).withColumn("few", few), sets))
+        take(_exhaustive(mixed.where(done).withColumn("few", few), sets, percent))
         rows = materialize(_shared(_children(mixed.where(~done), sets)), "nodes")
     return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every document; links take a similarity of `percent` or more.
 
     Documents without words form no set and are linked with nothing. A null doc_id takes part; its group has the smallest
     id there is, or null. Rows that repeat an id and a text stand in one group and are all kept if they are its first.
@@ -363,7 +392,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     described = materialize(describe(docs), "described")
     sets = distinct_sets(described)
-    labels = link_sets(docs, sets)
+    labels = link_sets(docs, sets, percent)
     first = sets.select("key", "sid", "first_id")
     if labels is not None:
         named = first.join(labels, "sid")
@@ -377,9 +406,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "n_shingles", F.col("__group").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("__group")).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of `docs` that are the first of their group, one row per group; without an id, equal texts count as one."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "__id")
+    kept = near_duplicates(docs, percent).where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "__id")
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
     return rows.withColumn("__row", F.row_number().over(same)).where("__row = 1").drop("__row")

@@ -141,4 +141,4 @@ def op9_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op10_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
-    return chosen_path.near_duplicates(_table(spark, folder, "documents"))
+    return chosen_path.near_duplicates(_table(spark, folder, "documents"), chosen_path.PERCENT)

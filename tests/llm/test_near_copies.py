@@ -86,6 +86,25 @@ def test_one_of_each_group_stays(awkward):
     assert ids[0] == 1 and not {1, 2, 3, 8, 10} & set(ids) and ids[16] == 1 and ids[None] == 2 and {4, 5, 6, 7, 9, 11} <= set(ids)
 
 
+def test_stage_links_from_four_fifths_on(spark):
+    """Pairs between 0.80 and 0.85 are one document for the stage and two for the query; below 0.80 they are two."""
+    rows, alike = [], []
+    for i in range(30):
+        words = prose(500 + i, 150).split(" ")
+        other = list(words)
+        for k in range(3 if i % 2 else 5):
+            other[20 + 25 * k] = "changed"
+        a, b = set_of(" ".join(words)), set_of(" ".join(other))
+        alike.append(len(a & b) / len(a | b))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    assert all(0.8 <= s < 0.85 if i % 2 else s < 0.8 for i, s in enumerate(alike))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == set(range(60)) - {2 * i + 1 for i in range(1, 30, 2)}
+    assert chosen_path.near_duplicates(docs).where("kept").count() == 60
+    assert (chosen_path.least_equal(85), chosen_path.trees(85)) == (188, 5) and (chosen_path.least_equal(80), chosen_path.trees(80)) == (173, 8)
+
+
 def test_stages_keep_columns(spark, awkward, tmp_path):
     folder = str(tmp_path)
     awkward.write.parquet(f"{folder}/documents.parquet")
