@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editlens.llm import (
-    bpe, chosen_path, compression, cross_entropy, curriculum, hilbert, syncmers, token_files, toxicity, url_cascade,
+    bpe, chosen_path, compression, cross_entropy, curriculum, hilbert, packing, syncmers, token_files, toxicity, url_cascade,
 )
 from editlens.llm.common import word_count
 from editlens.session import materialize, work_path
@@ -142,3 +142,13 @@ def op9_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.near_duplicates(_table(spark, folder, "documents"), chosen_path.PERCENT)
+
+
+#: A tokenizer with word ends, and the id that ends a document.
+WORD_VOCABULARY, END_ID = "word_bpe_49k.json", 2
+
+
+@query()
+def op11_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, folder, "documents"), ["doc_id"], public_tokenizers.path(WORD_VOCABULARY), END_ID)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
