@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from editlens.llm import (
     bpe, chosen_path, compression, cross_entropy, curriculum, hilbert, packing, syncmers, token_files, toxicity, url_cascade,
+    whitening,
 )
 from editlens.llm.common import word_count
 from editlens.session import materialize, work_path
@@ -152,3 +153,9 @@ WORD_VOCABULARY, END_ID = "word_bpe_49k.json", 2
 def op11_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(_table(spark, folder, "documents"), ["doc_id"], public_tokenizers.path(WORD_VOCABULARY), END_ID)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query()
+def op12_weighted_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, folder, "embeddings"), ["vec_id"], "embedding")
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
