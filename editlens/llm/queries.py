@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editlens.llm import (
-    bpe, chosen_path, compression, cross_entropy, curriculum, hilbert, packing, syncmers, token_files, toxicity, url_cascade,
-    whitening,
+    bpe, chosen_path, collocations, compression, cross_entropy, curriculum, hilbert, packing, syncmers, token_files, toxicity,
+    url_cascade, whitening,
 )
 from editlens.llm.common import word_count
 from editlens.session import materialize, work_path
@@ -159,3 +159,33 @@ def op11_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op12_weighted_whitening(spark: SparkSession, folder: str) -> DataFrame:
     white = whitening.whiten(_table(spark, folder, "embeddings"), ["vec_id"], "embedding")
     return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, piece, nr FROM (SELECT lang, doc_id,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece,
+    generate_subscripts(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]'), 1) AS nr FROM documents)),
+t AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+o AS (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM g),
+f1 AS (SELECT lang, w1, count(*) AS f FROM o GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM o WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM o WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+two AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r,
+  f2.f::HUGEINT * f2.f * 1000000 // (x.f::HUGEINT * y.f) AS score
+  FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+  LEFT JOIN longer ON longer.lang = f2.lang AND longer.w1 = f2.w1 AND longer.w2 = f2.w2
+  WHERE longer.f IS NULL OR 100 * longer.f < 50 * f2.f),
+cuts AS (SELECT f3.*, x.f AS xf, y.f AS yf, u.f AS uf, v.f AS vf,
+  f3.f::HUGEINT * f3.f * 1000000 // (x.f::HUGEINT * v.f) AS s1, f3.f::HUGEINT * f3.f * 1000000 // (u.f::HUGEINT * y.f) AS s2
+  FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3
+  JOIN f2 u ON u.lang = f3.lang AND u.w1 = f3.w1 AND u.w2 = f3.w2 JOIN f2 v ON v.lang = f3.lang AND v.w1 = f3.w2 AND v.w2 = f3.w3),
+every AS (SELECT * FROM two UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, f, CASE WHEN s1 <= s2 THEN xf ELSE uf END,
+  CASE WHEN s1 <= s2 THEN vf ELSE yf END, least(s1, s2) FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM every)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
