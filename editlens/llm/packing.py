@@ -12,6 +12,8 @@ or empty text is the end id alone. Rows with the same key are packed apart from
 """
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,58 +28,61 @@ LEAST = 512
 BLOCK_TOKENS = 4_000_000
 #: Tokens of a step; every step holds sequences of one length.
 STEP_TOKENS = 1 << 16
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 CACHE_BYTES = 48
 #: ASCII marks at the end of a word that the tokenizer always splits off from a letter or digit before them.
 MARKS = b".,;:!?"
+#: Lower-case words of Latin-1 letters are one piece to the tokenizer and normal as they are.
+PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 SCHEMA = (
     "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length int, step_id long"
 )
 
 
-class WordIds:
-    """Token ids of texts as little-endian 32-bit bytes; each distinct word is given to the tokenizer once.
+def byte_letters() -> dict[int, str]:
+    """The letter a byte-level vocabulary writes for each byte: visible ones stand for themselves, the rest follow from 256."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    The tokenizer never joins across white space and lower-cases itself, so words can be taken one by one.
+
+class WordIds(dict):
+    """Token ids of words as little-endian 32-bit bytes; a word is given to the tokenizer when it is first met.
+
+    The tokenizer never joins across white space and lower-cases itself, so words can be taken one by one, in lower case.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() for f in found]
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words. A word with marks at its end is its core and its marks."""
-        cores = {}
-        for w in words:
-            core = w.rstrip(MARKS)
-            cores[w] = (core, w[len(core):]) if core and len(core) < len(w) and core[-1:].isalnum() else (w, b"")
-        parts = {p for pair in cores.values() for p in pair if p and p not in self.known}
-        ordered = sorted(parts)
-        fresh = dict(zip(ordered, self._encode(ordered), strict=True))
-        both = lambda p: fresh[p] if p in fresh else self.known[p]
-        fresh |= {w: both(core) + (both(tail) if tail else b"") for w, (core, tail) in cores.items()}
-        return fresh
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.encode().lower().split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = set().union(*cut).difference(self.known)
-        fresh = self.learn(new) if new else {}
-        self.known.update(fresh)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
-        for w in fresh:
-            if len(w) > CACHE_BYTES:
-                del self.known[w]
-        return out
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+
+    def _encode(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        if PLAIN.fullmatch(word):
+            ids = [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(MARKS)
+        if core and len(core) < len(word) and core[-1:].isalnum():
+            ids = self[core] + self[word[len(core):]]
+        else:
+            ids = self._encode(word)
+        if len(word) <= CACHE_BYTES:
+            self[word] = ids
+        return ids
+
+    def of(self, text: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.encode().lower().split()))
 
 
 @lru_cache(maxsize=2)
@@ -197,11 +202,11 @@ def pack(
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), SCHEMA])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = word_ids(path), np.array([end_id], "<u4").tobytes()
+        ids_of, end = word_ids(path).of, np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 33
         sequence_base = step_base = first
 
-        def packed(keys: list[pa.RecordBatch], ids: list[bytes]) -> pa.RecordBatch:
+        def packed(keys: list[pa.RecordBatch], ids: list[bytes]) -> pa.Table:
             nonlocal sequence_base, step_base
             lengths = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
             sequences = pack_block(lengths)
@@ -234,20 +239,15 @@ def pack(
 
         keys, ids, held = [], [], 0
         for batch in batches:
-            texts, at = batch.column("__text"), 0
-            while at < batch.num_rows:  # a few documents at a time, so that a block ends soon after its size
-                part, chars = [], 0
-                while at + len(part) < batch.num_rows and chars < 1_000_000:
-                    part.append(texts[at + len(part)].as_py() or "")
-                    chars += len(part[-1])
-                found = [i + end for i in ids_of(part)]
-                keys.append(batch.slice(at, len(part)).select(columns))
-                ids += found
-                held += sum(map(len, found)) // 4
-                at += len(part)
+            start = 0
+            for at, text in enumerate(batch.column("__text")):
+                ids.append(ids_of(text.as_py() or "") + end)
+                held += len(ids[-1]) // 4
                 if held >= block_tokens:
+                    keys.append(batch.slice(start, at + 1 - start).select(columns))
                     yield from packed(keys, ids).to_batches(max_chunksize=10_000)
-                    keys, ids, held = [], [], 0
+                    keys, ids, held, start = [], [], 0, at + 1
+            keys.append(batch.slice(start).select(columns))
         if ids:
             yield from packed(keys, ids).to_batches(max_chunksize=10_000)
 
