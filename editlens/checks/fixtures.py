@@ -58,6 +58,38 @@ PAIRS = {
                      "ELSE replace(text, '.', concat('.', chr(10))) END",
 }
 
+# Documents as pages with every kind of markup, and an edit of a kind per page.
+MARKUP_PAGES = {
+    "revision_id": "doc_id + 1",
+    "wiki_db": "concat(lang, 'wiki')",
+    "source": "source",
+    "edit": "doc_id % 10",
+    "parent_text": "concat('== About ', source, ' ==', chr(10), '{{Infobox|name=', source, '}} {{{size|', doc_id % 7, '}}}', chr(10), "
+                   "repeat(chr(39), 3), 'Bold', repeat(chr(39), 3), ' [[', source, ' town|label]] [[Category:', lang, ' places]] ', "
+                   "'[[File:map_', doc_id % 5, '.png|thumb]] [[Kategorija:', source, ']]', chr(10), "
+                   "'* first ', source, chr(10), '* second point', chr(10), '# third', chr(10), coalesce(text, ''), chr(10), "
+                   "'<!-- checked ', doc_id % 3, ' --> <ref name=a>Book of ', source, '</ref><ref name=b/> &amp; https://example.org/', source, chr(10), "
+                   "'<gallery>', chr(10), 'a.png', chr(10), '</gallery>', chr(10), '{|', chr(10), '! head', chr(10), '| cell ', doc_id % 3, chr(10), '|}', "
+                   "chr(10), 'one two three four five')",
+}
+MARKUP = {
+    "revision_id": "revision_id",
+    "wiki_db": "wiki_db",
+    "source": "source",
+    "parent_text": "parent_text",
+    "revision_text": "CASE edit WHEN 0 THEN parent_text "
+                     "WHEN 1 THEN replace(replace(parent_text, '== About ', '=== History of '), ' the ', ' teh ') "
+                     "WHEN 2 THEN replace(replace(parent_text, '{{Infobox|', '{{Box|other={{{x}}}|'), '{{{size|', '{{{length|') "
+                     "WHEN 3 THEN replace(replace(parent_text, '<ref name=b/>', ''), ' checked ', ' seen again ') "
+                     "WHEN 4 THEN replace(replace(replace(parent_text, '[[Category:', '[[KATEGORIJA:about '), '[[File:', '[[Datei:'), ' town|', ' city|') "
+                     "WHEN 5 THEN replace(parent_text, concat('* first ', source, chr(10), '* second point', chr(10), '# third', chr(10)), "
+                     "concat('* second point', chr(10), '# third', chr(10), '* first ', source, chr(10))) "
+                     "WHEN 6 THEN replace(replace(replace(parent_text, 'a.png', 'a.png|caption'), '| cell ', concat('| new cell', chr(10), '| cell ')), '&amp;', '&nbsp; &lt;') "
+                     "WHEN 7 THEN replace(replace(parent_text, '. ', concat('.', chr(10), chr(10))), 'https://', 'http://') "
+                     "WHEN 8 THEN replace(replace(parent_text, repeat(chr(39), 3), repeat(chr(39), 2)), 'one two three four five', 'two three four five one') "
+                     "ELSE concat(parent_text, chr(10), '[[Category:', source, ']] and {{stub}}! [[Datei:z.png]] <ref>new</ref>') END",
+}
+
 EDITS = {
     "revision_id": "conv_id * 1000 + turn + 1",
     "wiki_db": "CASE conv_id % 3 WHEN 0 THEN 'enwiki' WHEN 1 THEN 'dewiki' ELSE 'frwiki' END",
@@ -77,6 +109,12 @@ EDITS = {
     ),
 }
 
+# Language, prefix of a link, type of the link.
+LINK_ALIASES = [
+    ("de", "Kategorie", "Category"), ("de", "Datei", "Media"), ("es", "Kategorija", "Category"), ("es", "Categoría", "Category"),
+    ("fr", "Kategorija", "Category"), ("fr", "Datei", "Media"),
+]
+
 IP_BLOCKS = {
     "ip_start": "CAST(n_nationkey AS BIGINT) * 2621",
     "ip_end": "CAST(n_nationkey AS BIGINT) * 2621 + 2000",
@@ -125,6 +163,8 @@ VIEWS = {
     "history": _duckdb(HISTORY, "events"),
     "scores": _SCORES,
     "pairs": _duckdb(PAIRS, "documents"),
+    "markup_pages": _duckdb(MARKUP_PAGES, "documents"),
+    "markup": _duckdb(MARKUP, "markup_pages"),
     "wikitext": "SELECT 2 * revision_id AS revision_id, wiki_db, revision_text FROM pairs "
                 "UNION ALL SELECT 2 * revision_id - 1, wiki_db, parent_text FROM pairs WHERE revision_id % 10 <> 7",
     "edits": _duckdb(EDITS, "conversations"),
@@ -169,6 +209,16 @@ class Tables:
     def pairs(self) -> DataFrame:
         return self.table("documents").selectExpr(*_spark(PAIRS))
 
+    @cached_property
+    def markup(self) -> DataFrame:
+        """Documents as pages of wikitext with an edit."""
+        return self.table("documents").selectExpr(*_spark(MARKUP_PAGES)).selectExpr(*_spark(MARKUP))
+
+    @cached_property
+    def link_aliases(self) -> DataFrame:
+        """Link prefixes per language."""
+        return self.spark.createDataFrame(LINK_ALIASES, "lang string, alias string, type string")
+
     @cached_property
     def edits(self) -> DataFrame:
         return self.table("conversations").selectExpr(*_spark(EDITS))

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from editlens import schema as S
-from editlens.checks.fixtures import HTML_PATTERNS, Tables
+from editlens.checks.fixtures import HTML_PATTERNS, LINK_ALIASES, Tables
 from editlens.checks.registry import query
-from editlens.functions.text import category_links, similarity_ratio, split_lines, split_sentences
+from editlens.functions.text import similarity_ratio, split_lines, split_sentences
 from editlens.operators import diff, elements, fragments as Fr, metrics as M
 
 ID, WIKI, LABEL = S.ID, S.WIKI, S.LABEL
@@ -124,29 +124,34 @@ def collect_node_texts(t: Tables):
     return rows.select(ID, "node_type", "action", F.size("texts").cast("long").alias("row_count"), letters.alias("letters"))
 
 
-def _actions_sql(table: str, patterns: dict, group: int) -> str:
-    """Gained, lost and moved elements per revision and type, after cutting the common start and end of both lists."""
-    lists = " UNION ALL ".join(
-        f"""SELECT revision_id, '{kind}' AS type, regexp_extract_all(parent_text, '{pattern.replace("'", "''")}', {group}) AS o,
-        regexp_extract_all(revision_text, '{pattern.replace("'", "''")}', {group}) AS n FROM {table}"""
-        for kind, pattern in patterns.items()
-    )
-    same = "coalesce(list_position(list_transform(list_zip({0}, {1}), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) - 1, greatest(len({0}), len({1})))"
-    return f"""e AS (SELECT *, {same.format('o', 'n')} AS p FROM ({lists}) WHERE len(o) + len(n) > 0),
-f AS (SELECT revision_id, type, list_reverse(o[p + 1:]) AS o, list_reverse(n[p + 1:]) AS n FROM e),
-g AS (SELECT *, {same.format('o', 'n')} AS q FROM f),
+_LIST_SAME = "coalesce(list_position(list_transform(list_zip({0}, {1}), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) - 1, greatest(len({0}), len({1})))"
+
+# Elements per revision and type as two lists `o` and `n` in table e → gained, lost and moved ones in table a. What moved is
+# what a longest increasing run of new places leaves over: one list of least run ends, extended place by place.
+_ACTIONS = f"""e2 AS (SELECT *, {_LIST_SAME.format('o', 'n')} AS p FROM e WHERE len(o) + len(n) > 0),
+f AS (SELECT revision_id, type, list_reverse(o[p + 1:]) AS o, list_reverse(n[p + 1:]) AS n FROM e2),
+g AS (SELECT *, {_LIST_SAME.format('o', 'n')} AS q FROM f),
 m AS (SELECT revision_id, type, list_reverse(o[q + 1:]) AS o, list_reverse(n[q + 1:]) AS n FROM g),
 x AS (SELECT revision_id, type, 'old' AS side, unnest(o) AS value, generate_subscripts(o, 1) AS place FROM m
 UNION ALL SELECT revision_id, type, 'new', unnest(n), generate_subscripts(n, 1) FROM m),
 o AS (SELECT *, row_number() OVER (PARTITION BY revision_id, type, side, value ORDER BY place) AS copy FROM x),
 c AS (SELECT revision_id, type, value, copy, max(place) FILTER (WHERE side = 'old') AS old, max(place) FILTER (WHERE side = 'new') AS new
   FROM o GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY revision_id, type, old IS NOT NULL AND new IS NOT NULL ORDER BY old) AS ro,
-  row_number() OVER (PARTITION BY revision_id, type, old IS NOT NULL AND new IS NOT NULL ORDER BY new) AS rn FROM c),
 s AS (SELECT revision_id, type, count(*) FILTER (WHERE old IS NULL) AS gained, count(*) FILTER (WHERE new IS NULL) AS lost,
-  count(*) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL AND ro <> rn) AS move FROM k GROUP BY ALL),
+  coalesce(list(new ORDER BY old) FILTER (WHERE old IS NOT NULL AND new IS NOT NULL), []) AS places FROM c GROUP BY ALL),
+r AS (SELECT revision_id, type, gained, lost, CASE WHEN places = list_sort(places) THEN 0 ELSE len(places) - len(list_reduce(
+  list_transform(places, lambda p: [p]), lambda t, p: list_concat(t[:len(list_filter(t, lambda v: v < p[1]))], p, t[len(list_filter(t, lambda v: v < p[1])) + 2:])
+  )) END AS move FROM s),
 a AS (SELECT revision_id, type, coalesce(gained, 0) AS gained, coalesce(lost, 0) AS lost, coalesce(move, 0) AS move
-  FROM m LEFT JOIN s USING (revision_id, type))"""
+  FROM m LEFT JOIN r USING (revision_id, type))"""
+
+
+def _pattern_lists(table: str, patterns: dict, group: int) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT revision_id, '{kind}' AS type, regexp_extract_all(parent_text, '{pattern.replace("'", "''")}', {group}) AS o,
+        regexp_extract_all(revision_text, '{pattern.replace("'", "''")}', {group}) AS n FROM {table}"""
+        for kind, pattern in patterns.items()
+    )
 
 
 _ACTION_COLUMNS = ", ".join(
@@ -156,36 +161,73 @@ _ACTION_COLUMNS = ", ".join(
                          ("remove", "lost - least(gained, lost)"))
 )
 
-
-# The oracle's engine has no possessive loops.
-_SQL_PATTERNS = elements.WIKITEXT_PATTERNS | {"Paragraph": r"[^\n]+(?:\n[^\n]+)*"}
+# The oracle's own rules, for pages whose brackets are closed: lines by their first sign, brackets by what is left when inner
+# ones have become a mark, links by a list of prefixes per language.
+_LINES_OF = "string_split({x}, chr(10))"
+_PREFIX = "lower(split_part(v[3:], ':', 1))"
+_MARKUP_RULES = {
+    "Argument": r"regexp_extract_all({x}, '[{{]{{3}}[^{{}}]*[}}]{{3}}')",
+    "Template": r"regexp_extract_all(regexp_replace({x}, '[{{]{{3}}[^{{}}]*[}}]{{3}}', chr(65532), 'g'), '[{{]{{2}}[^{{}}]*[}}]{{2}}')",
+    "Comment": "list_transform(list_filter(string_split({x}, '<!--')[2:], lambda v: contains(v, '-->')), lambda v: concat('<!--', split_part(v, '-->', 1), '-->'))",
+    "Gallery": "list_transform(string_split({x}, '<gallery>')[2:], lambda v: concat('<gallery>', split_part(v, '</gallery>', 1), '</gallery>'))",
+    "Table": "list_transform(string_split({x}, concat('{{', '|', chr(10)))[2:], lambda v: concat('{{|', chr(10), split_part(v, '|}}', 1), '|}}'))",
+    "Reference": "list_transform(list_filter(string_split({x}, '<ref')[2:], lambda v: contains(v, '/>') OR contains(v, '</ref>')), "
+                 "lambda v: concat('<ref', CASE WHEN ends_with(split_part(v, '>', 1), '/') THEN concat(split_part(v, '>', 1), '>') "
+                 "ELSE concat(split_part(v, '</ref>', 1), '</ref>') END))",
+    "Link": r"regexp_extract_all({x}, '\[\[[^\[\]]*\]\]')",
+    "Heading": "list_filter(list_transform({lines}, lambda v: regexp_extract(v, '^=+[^=]+=+')), lambda v: v <> '')",
+    "Section": "list_filter(list_transform({lines}, lambda v: regexp_extract(v, '^==[^=]+==')), lambda v: v <> '')",
+    "List": "list_filter({lines}, lambda v: v <> '' AND contains('*#:;', v[1]))",
+    "Table Element": "list_filter({lines}, lambda v: v <> '' AND contains('|!', v[1]) AND v[2] <> '}}')",
+    "Text": "list_filter({lines}, lambda v: v <> '')",
+    "Paragraph": "list_filter(list_transform(regexp_split_to_array({x}, '\n\n+'), lambda v: trim(v, chr(10))), lambda v: v <> '')",
+    "Sentence": r"regexp_extract_all({x}, '[^.!?\n]+[.!?]*')",
+    "Punctuation": "list_filter(string_split({x}, ''), lambda v: v IN ('.', ',', ';', ':', '!', '?'))",
+    "Whitespace": r"regexp_extract_all({x}, '[ \t\n\r]+')",
+    "Word": r"regexp_extract_all({x}, '\p{{L}}+')",
+    "Text Formatting": "list_filter(regexp_extract_all({x}, chr(39) || '+'), lambda v: length(v) BETWEEN 2 AND 5)",
+    "ExternalLink": r"regexp_extract_all({x}, 'https?://[^\s\[\]<>|{{}}]+')",
+    "HTMLEntity": "regexp_extract_all({x}, '&#?[A-Za-z0-9]+;')",
+}
+
+
+def _markup_lists() -> str:
+    both = lambda rule: ", ".join(
+        f"{rule.format(x=x, lines=_LINES_OF.format(x=x)).replace(chr(92) * 2, chr(92))} AS {n}" for x, n in (("parent_text", "o"), ("revision_text", "n"))
+    )
+    plain = " UNION ALL ".join(
+        f"SELECT revision_id, '{kind}' AS type, {both(rule)} FROM ch" for kind, rule in _MARKUP_RULES.items() if kind != "Link"
+    )
+    own = lambda kind: "[" + ", ".join(f"'{lang}:{alias.lower()}'" for lang, alias, of in LINK_ALIASES if of == kind) + "]"
+    link_type = f"""CASE WHEN {_PREFIX} = 'category' OR list_contains({own('Category')}, concat(wiki_db[:2], ':', {_PREFIX})) THEN 'Category'
+      WHEN {_PREFIX} IN ('file', 'image', 'media') OR list_contains({own('Media')}, concat(wiki_db[:2], ':', {_PREFIX})) THEN 'Media' ELSE 'Wikilink' END"""
+    links = f"""SELECT revision_id, t AS type, list_filter(o, lambda v: {link_type} = t) AS o, list_filter(n, lambda v: {link_type} = t) AS n
+      FROM (SELECT revision_id, wiki_db, {both(_MARKUP_RULES['Link'])} FROM ch), (VALUES ('Category'), ('Media'), ('Wikilink')) k(t)"""
+    return f"{plain} UNION ALL {links}"
 
 
-@query(f"""WITH ch AS MATERIALIZED (SELECT * FROM pairs WHERE revision_text <> parent_text), {_actions_sql('ch', _SQL_PATTERNS, 0)}
+@query(f"""WITH ch AS MATERIALIZED (SELECT * FROM markup WHERE revision_text <> parent_text), e AS ({_markup_lists()}), {_ACTIONS}
 SELECT revision_id, {_ACTION_COLUMNS} FROM a GROUP BY revision_id""")
 def edit_action_counts(t: Tables):
     from editlens.operators.revisions import expand_actions
 
-    return expand_actions(elements.edit_action_counts(t.pairs)).drop("actions", WIKI)
+    return expand_actions(elements.edit_action_counts(t.markup, aliases=t.link_aliases)).drop("actions", WIKI)
 
 
 @query(f"""WITH pp AS MATERIALIZED (SELECT p.page_id AS revision_id, p.html AS revision_text, q.html AS parent_text
-  FROM pages p JOIN pages q ON p.page_id = q.page_id + 1 WHERE p.html <> q.html), {_actions_sql('pp', HTML_PATTERNS, 1)}
+  FROM pages p JOIN pages q ON p.page_id = q.page_id + 1 WHERE p.html <> q.html), e AS ({_pattern_lists('pp', HTML_PATTERNS, 1)}), {_ACTIONS}
 SELECT revision_id, type, least(gained, lost) AS change, gained - least(gained, lost) AS insert, move, lost - least(gained, lost) AS remove FROM a""")
 def element_actions(t: Tables):
     return elements.element_actions(t.page_pairs, HTML_PATTERNS, [ID], group=1)
 
 
-@query("""SELECT revision_id, wiki_db, 2 AS categories, array_to_string([source, concat('about ', source)], '|') AS names FROM pairs""")
+@query("""SELECT revision_id, wiki_db, coalesce(len(names), 0)::INT AS categories, coalesce(array_to_string(names, '|'), '') AS names FROM (
+SELECT revision_id, wiki_db, list_transform(list_filter(regexp_extract_all(revision_text, '\\[\\[[^\\[\\]]*\\]\\]'), lambda v:
+  lower(split_part(v[3:], ':', 1)) = 'category' OR (wiki_db IN ('eswiki', 'frwiki') AND lower(split_part(v[3:], ':', 1)) = 'kategorija')),
+  lambda v: replace(regexp_replace(v, '^[^:]*:(.*)..$', '\\1'), ',', '')) AS names FROM markup)""")
 def extract_categories(t: Tables):
-    text = F.concat(
-        F.col("revision_text"), F.lit("\n[[Category:"), F.col("source"), F.lit("]]\n[[File:a.png]] [[plain]] [[KATEGORIE:about, "),
-        F.col("source"), F.lit("]]"),
-    )
-    # Aliases come from a side table; here the same for every language.
-    aliases = F.array(F.lit("category"), F.lit("kategorie"))
-    found = t.pairs.select(ID, WIKI, category_links(text, aliases).alias("names"))
-    return found.select(ID, WIKI, F.size("names").alias("categories"), F.array_join("names", "|").alias("names"))
+    found = elements.extract_categories(t.markup, "revision_text", t.link_aliases)
+    return found.select(ID, WIKI, F.size("categories").alias("categories"), F.array_join("categories", "|").alias("names"))
 
 
 @query(f"""WITH {_DELTAS} SELECT revision_id, wiki_db, CASE WHEN revision_id IN (SELECT revision_id FROM d) THEN 1 ELSE 0 END AS differs FROM pairs""")

@@ -1,9 +1,10 @@
-"""Counts of edit actions per content type, from markup elements found by patterns.
+"""Counts of edit actions per content type, from the markup elements of two texts.
 
-The elements of a type are the matches of its pattern, in order of place. The start and the end the two element lists
-have in common are kept in place. In between, the i-th copy of a value in the old text meets the i-th in the new one;
-copies are gained, lost or kept. min(gained, lost) of a type count as changed, the rest as inserted or removed, and kept
-copies whose rank among the kept ones differs as moved. This looks at elements only, not at a syntax tree.
+Flat elements (words, lines, headings, ...) are the matches of a pattern; bracketed ones (templates, links, tables, ...) come
+from one scan of the text. Per type, the start and the end the two element lists have in common are kept in place. In
+between, the i-th copy of a value in the old text meets the i-th in the new one; copies are gained, lost or kept.
+min(gained, lost) of a type count as changed, the rest as inserted or removed. Of the kept copies, those outside a longest
+run that is in order in both texts have moved.
 """
 
 from collections.abc import Sequence
@@ -12,39 +13,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlens import schema as S
+from editlens.functions.text import language_code
 from editlens.operators.diff import CURRENT_TEXT, PARENT_TEXT
+from editlens.operators.markup import bracketed_elements, link_prefix, out_of_order
 
+#: Patterns of the flat types. All of them take time in proportion to the text.
 WIKITEXT_PATTERNS = {
-    "Argument": r"\{\{\{[^{}]*\}\}\}",
-    "Category": r"\[\[(?i:category|kategorie|catégorie|categoría):[^\[\]]*\]\]",
-    "Comment": r"(?s)<!--.*?-->",
     "ExternalLink": r"https?://[^\s\[\]<>|{}]+",
-    "Gallery": r"(?is)<gallery[^>]*>.*?</gallery>",
     "HTMLEntity": r"&#?[A-Za-z0-9]+;",
     "Heading": r"(?m)^=+[^=\n]+=+",
     "List": r"(?m)^[*#:;][^\n]*",
-    "Media": r"\[\[(?i:file|image|media):[^\[\]]*\]\]",
     "Paragraph": r"[^\n]++(?:\n[^\n]++)*+",  # possessive: the loop then needs no stack per line
     "Punctuation": r"[.,;:!?]",
-    "Reference": r"(?is)<ref[^>/]*>.*?</ref>|<ref[^>]*/>",
     "Section": r"(?m)^==[^=\n]+==",
     "Sentence": r"[^.!?\n]+[.!?]*",
-    "Table": r"(?s)\{\|.*?\|\}",
-    "Table Element": r"(?m)^[|!][^\n]*",
-    "Template": r"\{\{[^{}]*\}\}",
+    "Table Element": r"(?m)^[|!](?!\})[^\n]*",
     "Text": r"[^\n]+",
     "Text Formatting": r"'{2,5}",
     "Whitespace": r"[ \t\n\r]+",
-    "Wikilink": r"\[\[[^\[\]]*\]\]",
     "Word": r"\p{L}+",
 }
 
+#: Types the scan finds; a link is a Category, a Media or a Wikilink by its prefix.
+BRACKETED = ["Argument", "Category", "Comment", "Gallery", "Media", "Reference", "Table", "Template", "Wikilink"]
+
+#: Prefixes every language has; those of a language come from a table.
+LINK_PREFIXES = {"category": "Category", "file": "Media", "image": "Media", "media": "Media"}
 
 # Text every match of a pattern contains. Where it is absent, which is cheap to see, the pattern is not run.
 REQUIRED_TEXT = {
-    "Argument": "{{{", "Category": "[[", "Comment": "<!--", "ExternalLink": "://", "Gallery": "</", "HTMLEntity": "&",
-    "Heading": "=", "Media": "[[", "Reference": "<", "Section": "==", "Table": "{|", "Template": "{{",
-    "Text Formatting": "''", "Wikilink": "[[",
+    "ExternalLink": "://", "HTMLEntity": "&", "Heading": "=", "Section": "==", "Text Formatting": "''",
 }
 
 
@@ -69,11 +67,65 @@ def _matches(text: Column, side: str, patterns: dict[str, str], group: int) -> C
     return F.flatten(F.array(*per_type))
 
 
+def with_link_types(df: DataFrame, aliases: DataFrame | None, name: str, wiki: str = S.WIKI) -> DataFrame:
+    """Adds a map from lower-cased link prefixes to types: those of the row's language and those all languages have.
+
+    `aliases` has rows (lang, alias, type), a few per language; upper and lower case are the same in any script.
+    """
+    common = F.create_map(*[F.lit(x) for pair in LINK_PREFIXES.items() for x in pair])
+    if aliases is None:
+        return df.withColumn(name, common)
+    alias = F.lower(F.trim("alias")).alias("alias")
+    unique = aliases.where(~alias.isin(list(LINK_PREFIXES))).groupBy(F.col("lang").alias("__lang"), alias).agg(F.min("type").alias("type"))
+    maps = unique.groupBy("__lang").agg(F.map_from_entries(F.collect_list(F.struct("alias", "type"))).alias("__own"))
+    joined = df.join(maps, language_code(F.col(wiki)) == F.col("__lang"), "left")
+    own = F.coalesce("__own", F.create_map().cast("map<string,string>"))
+    return joined.withColumn(name, F.map_concat(common, own)).drop("__lang", "__own")
+
+
+def _link_type(value: Column, types: Column) -> Column:
+    return F.coalesce(F.element_at(types, link_prefix(value)), F.lit("Wikilink"))
+
+
+def _values_of(kind: str, elements: Column, types: Column) -> Column:
+    """Values of one bracketed type, in order of place."""
+    if kind in ("Category", "Media", "Wikilink"):
+        wanted = F.filter(elements, lambda e: (e["type"] == "Link") & (_link_type(e["value"], types) == kind))
+    else:
+        wanted = F.filter(elements, lambda e: e["type"] == kind)
+    return F.coalesce(F.transform(wanted, lambda e: e["value"]), F.array().cast("array<string>"))
+
+
 def extract_elements(
-    df: DataFrame, text: str, patterns: dict[str, str] = WIKITEXT_PATTERNS, keys: Sequence[str] = S.KEYS, group: int = 0
+    df: DataFrame, text: str, patterns: dict[str, str] | None = None, keys: Sequence[str] = S.KEYS, group: int = 0,
+    aliases: DataFrame | None = None,
+) -> DataFrame:
+    """Rows (keys, type, place, value) of the elements of a text: all wikitext types, or those of the given patterns."""
+    flat = F.transform(
+        _matches(F.col(text), "own", WIKITEXT_PATTERNS if patterns is None else patterns, group),
+        lambda e: F.struct(e["type"].alias("type"), e["place"].alias("place"), e["value"].alias("value")),
+    )
+    if patterns is not None:
+        return df.select(*keys, F.inline(flat))
+    scanned = with_link_types(df.select(*keys, text, bracketed_elements(F.col(text)).alias("__found")), aliases, "__types")
+    per_type = [
+        F.transform(
+            _values_of(kind, F.col("__found"), F.col("__types")),
+            lambda v, i: F.struct(F.lit(kind).alias("type"), i.alias("place"), v.alias("value")),  # noqa: B023
+        )
+        for kind in BRACKETED
+    ]
+    return scanned.select(*keys, F.inline(F.concat(flat, *per_type)))
+
+
+def extract_categories(
+    df: DataFrame, text: str, aliases: DataFrame | None = None, keys: Sequence[str] = S.KEYS
 ) -> DataFrame:
-    """Rows (keys, type, place, value) of the elements of a text."""
-    return df.select(*keys, F.inline(_matches(F.col(text), "own", patterns, group))).drop("side")
+    """Per row the names of its category links, in order, by the prefixes of its language."""
+    scanned = with_link_types(df.select(*keys, text, bracketed_elements(F.col(text)).alias("__found")), aliases, "__types")
+    links = _values_of("Category", F.col("__found"), F.col("__types"))
+    inner = F.transform(links, lambda v: F.replace(F.regexp_extract(v, r"(?s)^\[\[[^:]*:(.*)\]\]$", 1), F.lit(","), F.lit("")))
+    return scanned.select(*keys, inner.alias("categories"))
 
 
 def _first_difference(old: Column, new: Column) -> Column:
@@ -97,25 +149,28 @@ def _differing_middle(df: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def element_actions(
-    df: DataFrame, patterns: dict[str, str] = WIKITEXT_PATTERNS, keys: Sequence[str] = S.KEYS,
-    parent: str = PARENT_TEXT, current: str = CURRENT_TEXT, group: int = 0,
+    df: DataFrame, patterns: dict[str, str] | None = None, keys: Sequence[str] = S.KEYS,
+    parent: str = PARENT_TEXT, current: str = CURRENT_TEXT, group: int = 0, aliases: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (keys, type, change, insert, move, remove) for types with any element in a text that differs.
 
-    The texts are hashed to their revision once; the groupings below are finer than that and need no shuffle.
-    Sorted by old place, a kept copy has moved if its new place is not the one at the same rank of the new places.
+    All wikitext types, or those of the given patterns; `aliases` names further link prefixes per language. The texts are
+    hashed to their revision once; the groupings below are finer than that and need no shuffle.
     """
     keys = list(keys)
     changed = df.where(~F.col(parent).eqNullSafe(F.col(current))).select(*keys, parent, current).repartition(*keys)
     texts = {"__old": F.coalesce(F.col(parent), F.lit("")), "__new": F.coalesce(F.col(current), F.lit(""))}
-    kinds = F.array(*[
-        F.struct(
-            F.lit(kind).alias("type"),
-            *[_found(text, kind, pattern, group).alias(n) for n, text in texts.items()],
-        )
-        for kind, pattern in patterns.items()
-    ])
-    per_type = changed.select(*keys, F.inline(kinds)).where((F.size("__old") > 0) | (F.size("__new") > 0))
+    kinds = [
+        F.struct(F.lit(kind).alias("type"), *[_found(text, kind, pattern, group).alias(n) for n, text in texts.items()])
+        for kind, pattern in (WIKITEXT_PATTERNS if patterns is None else patterns).items()
+    ]
+    if patterns is None:
+        changed = with_link_types(changed.withColumns({f"{n}_found": bracketed_elements(text) for n, text in texts.items()}), aliases, "__types")
+        kinds += [
+            F.struct(F.lit(kind).alias("type"), *[_values_of(kind, F.col(f"{n}_found"), F.col("__types")).alias(n) for n in texts])
+            for kind in BRACKETED
+        ]
+    per_type = changed.select(*keys, F.inline(F.array(*kinds))).where((F.size("__old") > 0) | (F.size("__new") > 0))
     rest = _differing_middle(per_type, "__old", "__new")
     placed = lambda side, is_new: F.transform(
         side, lambda v, i: F.struct(v.alias("value"), i.alias("place"), F.lit(is_new).alias("is_new"))
@@ -137,21 +192,20 @@ def element_actions(
         F.sum(F.size("__old") - both).alias("__lost"),
         F.array_sort(F.flatten(F.collect_list(met))).alias("__met"),
     )
-    new_places = F.col("__met.new")
-    moved = F.size(F.filter(F.zip_with(new_places, F.array_sort(new_places), lambda a, b: a != b), lambda x: x))
+    counted = sums.select(*keys, "type", "__gained", "__lost", out_of_order(F.col("__met.new")).alias("__moved"))
     changes = F.least("__gained", "__lost")
-    return sums.select(
+    return counted.select(
         *keys, "type", changes.alias("change"), (F.col("__gained") - changes).alias("insert"),
-        moved.cast("long").alias("move"), (F.col("__lost") - changes).alias("remove"),
+        F.col("__moved").cast("long").alias("move"), (F.col("__lost") - changes).alias("remove"),
     )
 
 
 def edit_action_counts(
-    df: DataFrame, patterns: dict[str, str] = WIKITEXT_PATTERNS, keys: Sequence[str] = S.KEYS,
-    parent: str = PARENT_TEXT, current: str = CURRENT_TEXT, group: int = 0,
+    df: DataFrame, patterns: dict[str, str] | None = None, keys: Sequence[str] = S.KEYS,
+    parent: str = PARENT_TEXT, current: str = CURRENT_TEXT, group: int = 0, aliases: DataFrame | None = None,
 ) -> DataFrame:
     """Per revision with a text difference a map `<action>_<type>` → count, zero counts left out."""
-    rows = element_actions(df, patterns, keys, parent, current, group).select(
+    rows = element_actions(df, patterns, keys, parent, current, group, aliases).select(
         *keys,
         F.inline(F.array(*[
             F.struct(F.concat(F.lit(f"{a}_"), F.col("type")).alias("name"), F.col(a).cast("int").alias("n"))
