@@ -7,6 +7,7 @@ from editlens.checks.fixtures import HTML_PATTERNS, LINK_ALIASES, Tables
 from editlens.checks.registry import query
 from editlens.functions.text import similarity_ratio, split_lines, split_sentences
 from editlens.operators import diff, elements, fragments as Fr, metrics as M
+from editlens.session import materialize
 
 ID, WIKI, LABEL = S.ID, S.WIKI, S.LABEL
 R6 = lambda c, name=None: F.round(c, 6).alias(name or c)
@@ -86,6 +87,56 @@ def match_changed_sentences(t: Tables):
     return matched.select(*S.KEYS, F.inline("pairs"))
 
 
+# What every matching must keep, whatever its pairs: all sentences of both sides are there once, pairs are similar, and among
+# what is left over no two sentences are.
+def _kept_sql(deltas: str, keys: str) -> str:
+    return f"""WITH {deltas},
+s AS (SELECT DISTINCT {keys}, delta > 0 AS new, unnest({_SENTENCES.format(x='line')}) AS s FROM d),
+o AS (SELECT {keys}, s, bool_or(new) AS a, bool_or(NOT new) AS b FROM s GROUP BY ALL)
+SELECT {keys}, count(*) FILTER (WHERE b AND NOT a)::INT AS deleted, count(*) FILTER (WHERE a AND NOT b)::INT AS added,
+  md5(coalesce(string_agg(s, '|' ORDER BY s) FILTER (WHERE b AND NOT a), '')) AS deleted_digest,
+  md5(coalesce(string_agg(s, '|' ORDER BY s) FILTER (WHERE a AND NOT b), '')) AS added_digest,
+  0 AS unlike_pairs, 0 AS missed_pairs FROM o GROUP BY {keys}"""
+
+
+def _kept(diffs, keys):
+    """Sentences of both sides as the difference holds them, and a second look at its pairs and at what it left over."""
+    sides = {"deleted": ("texts_removed", "before"), "added": ("texts_insert", "after")}
+    lists = diffs.select(*keys, "texts_change", "texts_removed", "texts_insert", *[
+        F.array_sort(F.concat(rest, F.col(f"texts_change.{name}"))).alias(side) for side, (rest, name) in sides.items()
+    ])
+    pairs = lists.select(*keys, F.explode("texts_change").alias("c")).withColumn("ratio", similarity_ratio(F.col("c.before"), F.col("c.after")))
+    unlike = pairs.where(~(F.col("ratio") > S.SIMILARITY_THRESHOLD)).groupBy(*keys).agg(F.count("*").cast("int").alias("unlike"))
+    missed = F.size(diff.match_changed_sentences(F.col("texts_removed"), F.col("texts_insert")))
+    return lists.join(unlike, keys, "left").select(
+        *keys, *[F.size(side).alias(side) for side in sides], *[F.md5(F.array_join(side, "|")).alias(f"{side}_digest") for side in sides],
+        F.coalesce("unlike", F.lit(0)).alias("unlike_pairs"), F.greatest(missed, F.lit(0)).alias("missed_pairs"),
+    )
+
+
+@query(_kept_sql(_DELTAS, "revision_id, wiki_db"))
+def diff_lines_kept(t: Tables):
+    return _kept(diff.diff_lines(t.pairs), S.KEYS)
+
+
+@query(_kept_sql(_DELTAS.replace("HAVING sum(w) <> 0)", "HAVING sum(w) <> 0 AND line <> '')"), "revision_id, wiki_db").replace(
+    "0 AS unlike_pairs", "CASE WHEN revision_id % 3 = 0 THEN 'Reference' ELSE 'Text' END AS node_type, 0 AS unlike_pairs"))
+def diff_lines_grouped_kept(t: Tables):
+    nodes = t.pairs.withColumn("node_type", F.when(F.col(ID) % 3 == 0, "Reference").otherwise("Text"))
+    return _kept(diff.diff_lines_grouped(nodes), [*S.KEYS, "node_type"])
+
+
+@query(_kept_sql(_DELTAS, "revision_id, wiki_db"))
+def match_changed_sentences_kept(t: Tables):
+    """The same of the matching in blocks: every revision's lists are compared by many tasks."""
+    sets = materialize(diff.sentence_sets(diff.line_set_diff(t.pairs), S.KEYS), "sentence-sets")
+    matched = diff.match_sentence_sets(sets, pairs_per_call=10_000, block=200)
+    return _kept(matched.select(
+        *S.KEYS, F.array_except("deleted", F.col("texts_change.before")).alias("texts_removed"),
+        F.array_except("added", F.col("texts_change.after")).alias("texts_insert"), "texts_change",
+    ), S.KEYS)
+
+
 # Longest common subsequence row by row: one list per pair, one step per character of the first text.
 @query("""WITH RECURSIVE p AS (SELECT DISTINCT event_type AS a, concat('user', user_id % 40, ' ', event_type, ' ', user_id % 7) AS b FROM events),
 lcs(a, b, i, row) AS (

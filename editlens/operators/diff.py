@@ -1,23 +1,30 @@
 """Text difference of a revision and its parent: lines, sentences, changed pairs.
 
 All steps of a revision work on the partition its texts were hashed to: one shuffle of the texts, then explode,
-count and collect inside it. Texts that are equal are dropped before anything is exploded.
+count and collect inside it. Texts that are equal are dropped before anything is exploded. What is left of a
+revision, two lists of sentences, is written; lists too long for one call are compared in blocks by many tasks.
 """
 
-import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from editlens import schema as S
-from editlens.functions.text import ratio, split_lines, split_sentences
+from editlens.functions.similarity import similar_pairs
+from editlens.functions.text import split_lines, split_sentences
+from editlens.session import materialize
 
 PARENT_TEXT = "parent_text"
 CURRENT_TEXT = "revision_text"
+#: Sentence pairs one call compares; a revision with more is dealt out in blocks of so many sentences a side.
+PAIRS_PER_CALL = 1_000_000
+BLOCK = 1000
+TIERS = (94, 88, 80, 70)
 
 
 def line_set_diff(
@@ -56,61 +63,37 @@ def sentence_sets(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _letter_counts(texts: Sequence[str]) -> np.ndarray:
-    """Characters per text in 64 classes. Two texts share at most the sum of the smaller counts."""
-    counts = np.zeros((len(texts), 64), dtype=np.int32)
-    for i, text in enumerate(texts):
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        counts[i] = np.bincount(codes % 64, minlength=64)
-    return counts
+def _free_pairs(old: np.ndarray, new: np.ndarray, used_old: set[int], used_new: set[int]) -> Iterator[int]:
+    """Places of the pairs, best first, that are taken: both sentences are still free."""
+    for at, (i, j) in enumerate(zip(old.tolist(), new.tolist(), strict=True)):
+        if i not in used_old and j not in used_new:
+            used_old.add(i)
+            used_new.add(j)
+            yield at
 
 
-def match_sentences(deleted: Sequence[str], added: Sequence[str], threshold: int) -> list[dict[str, str]]:
-    """One-to-one pairs above the threshold, best ratio first, ties by deleted, then added text.
+def _tiers(threshold: int) -> list[int]:
+    """Thresholds from high to low. Pairs above one are all taken before any below, so each tier sees only what is still free,
+    and a high threshold rules out nearly all pairs by their character counts."""
+    return [*(t for t in TIERS if t > threshold), threshold]
 
-    Each deleted sentence keeps only its best free partner; partners are tried in the order of an upper bound of
-    the ratio, until the bound falls below the best found.
-    """
-    if not deleted or not added:
-        return []
-    old, new = _letter_counts(deleted), _letter_counts(added)
-    lengths = new.sum(axis=1)
-    free = np.ones(len(added), dtype=bool)
-
-    def best(i: int):
-        total = lengths + old[i].sum()
-        bound = np.where(total > 0, 200.0 * np.minimum(old[i], new).sum(axis=1) / np.maximum(total, 1), 0.0)
-        bound[~free] = -1.0
-        found = (threshold, "", -1)
-        for j in np.argsort(-bound, kind="stable"):
-            if bound[j] < found[0] - 0.5 or bound[j] <= threshold:
-                break
-            r = ratio(deleted[i], added[j])
-            if r > found[0] or (r == found[0] > threshold and added[j] < found[1]):
-                found = (r, added[j], j)
-        return found if found[2] >= 0 else None
-
-    heap = []
-    for i, text in enumerate(deleted):
-        hit = best(i)
-        if hit:
-            heap.append((-hit[0], text, hit[1], i, hit[2]))
-    heapq.heapify(heap)
-    pairs = []
-    while heap:
-        _, text, partner, i, j = heapq.heappop(heap)
-        if free[j]:
-            free[j] = False
-            pairs.append({"before": text, "after": partner})
-            continue
-        hit = best(i)
-        if hit:
-            heapq.heappush(heap, (-hit[0], text, hit[1], i, hit[2]))
+
+def match_sentences(deleted: Sequence[str], added: Sequence[str], threshold: int) -> list[dict[str, str]]:
+    """One-to-one pairs above the threshold, best ratio first, ties by deleted, then added text."""
+    old, new, pairs = sorted(deleted), sorted(added), []
+    for tier in _tiers(threshold):
+        i, j, ratios = similar_pairs(old, new, tier)
+        order = np.lexsort([j, i, -ratios])
+        used_old, used_new = set(), set()
+        i, j = i[order], j[order]
+        pairs += [{"before": old[i[at]], "after": new[j[at]]} for at in _free_pairs(i, j, used_old, used_new)]
+        old = [t for k, t in enumerate(old) if k not in used_old]
+        new = [t for k, t in enumerate(new) if k not in used_new]
     return pairs
 
 
 def match_changed_sentences(deleted: Column, added: Column, threshold: int = S.SIMILARITY_THRESHOLD) -> Column:
-    """Array of (before, after) pairs of similar sentences of one revision. Both arrays hold distinct sentences."""
+    """Array of (before, after) pairs of similar sentences of one revision, in one call. Both arrays hold distinct sentences."""
 
     @F.pandas_udf(S.CHANGE_PAIRS)
     def matched(old: pd.Series, new: pd.Series) -> pd.Series:
@@ -123,6 +106,90 @@ def match_changed_sentences(deleted: Column, added: Column, threshold: int = S.S
     return matched(F.when(both, deleted), F.when(both, added))
 
 
+def _block_pairs(long: DataFrame, threshold: int, block: int) -> DataFrame:
+    """Similar pairs of the listed revisions: rows (__rev, d, a, ratio) with places in the two lists.
+
+    Every pair of blocks is a row of its own, dealt by revision and blocks, so one revision keeps many tasks busy.
+    """
+    blocks = lambda side: F.sequence(F.lit(0), F.floor((F.size(side) - 1) / block).cast("int"))
+    part = lambda side, i: F.slice(side, F.col(i) * block + 1, F.lit(block))
+    rows = long.select("__rev", "deleted", "added", F.explode(blocks("deleted")).alias("i"))
+    rows = rows.select("*", F.explode(blocks("added")).alias("j"))
+    rows = rows.select("__rev", "i", "j", part("deleted", "i").alias("old"), part("added", "j").alias("new"))
+    tasks = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rev, i, j, old, new in zip(*batch.columns, strict=True):
+                d, a, ratios = similar_pairs(old.as_py(), new.as_py(), threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(d), rev.as_py(), np.int64)), pa.array((d + i.as_py() * block).astype(np.int32)),
+                     pa.array((a + j.as_py() * block).astype(np.int32)), pa.array(ratios.astype(np.int32))],
+                    ["__rev", "d", "a", "ratio"],
+                )
+
+    return rows.repartition(tasks, "__rev", "i", "j").mapInArrow(compare, "__rev long, d int, a int, ratio int")
+
+
+def _take_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of similar pairs that come revision by revision and best first, those whose sentences are both free."""
+    rev, used = None, (set(), set())
+    for batch in batches:
+        revs = batch.column("__rev").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(revs)) + 1).tolist(), len(revs)] if len(revs) else []
+        for start, end in zip(cuts, cuts[1:]):
+            if revs[start] != rev:
+                rev, used = revs[start], (set(), set())
+            part = batch.slice(start, end - start)
+            taken = list(_free_pairs(part.column("d").to_numpy(), part.column("a").to_numpy(), *used))
+            yield part.take(pa.array(taken, pa.int64()))
+
+
+def _match_in_blocks(long: DataFrame, threshold: int, block: int) -> DataFrame:
+    """`texts_change` of revisions with many sentences, tier by tier.
+
+    The similar pairs of a revision are sorted, best first, and pass as a stream: what is held is which sentences are taken.
+    """
+    long = materialize(long.withColumn("__rev", F.monotonically_increasing_id()), "long-lists")
+    left, found = long.select("__rev", "deleted", "added"), []
+    text = lambda side, place: F.get(side, F.col(place))
+    for tier in _tiers(threshold):
+        pairs = _block_pairs(left, tier, block)
+        best_first = pairs.repartition("__rev").sortWithinPartitions("__rev", F.desc("ratio"), "d", "a")
+        taken = best_first.mapInArrow(_take_free, best_first.schema)
+        texts = taken.join(left, "__rev").select(
+            "__rev", F.struct((-F.col("ratio")).alias("r"), text("deleted", "d").alias("before"), text("added", "a").alias("after")).alias("p")
+        )
+        lists = materialize(texts.groupBy("__rev").agg(F.array_sort(F.collect_list("p")).alias("p")), "taken")
+        found.append(lists)
+        rest = left.join(lists, "__rev", "left").select("__rev", *[
+            F.coalesce(F.array_except(side, F.col(f"p.{name}")), side).alias(side)
+            for side, name in (("deleted", "before"), ("added", "after"))
+        ])
+        left = materialize(rest.where((F.size("deleted") > 0) & (F.size("added") > 0)), "left-lists")
+    whole = found[0]
+    for lists in found[1:]:
+        whole = whole.unionByName(lists)
+    per_rev = whole.groupBy("__rev").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+    change = F.transform(F.coalesce("p", F.array().cast(per_rev.schema["p"].dataType)), lambda x: x.dropFields("r"))
+    return long.join(per_rev, "__rev", "left").withColumn("texts_change", change.cast(S.CHANGE_PAIRS)).drop("__rev", "p")
+
+
+def match_sentence_sets(
+    sets: DataFrame, threshold: int = S.SIMILARITY_THRESHOLD, pairs_per_call: int = PAIRS_PER_CALL, block: int = BLOCK
+) -> DataFrame:
+    """Adds `texts_change` to rows with `deleted` and `added`, sorted lists of distinct sentences.
+
+    The rows are read twice, so they should be a written table. Both ways give the same pairs.
+    """
+    many = F.size("deleted").cast("long") * F.size("added") > pairs_per_call
+    short = sets.where(~many).withColumn("texts_change", match_changed_sentences(F.col("deleted"), F.col("added"), threshold))
+    long = sets.where(many)
+    if long.isEmpty():
+        return short
+    return short.unionByName(_match_in_blocks(long, threshold, block))
+
+
 def diff_lines(
     df: DataFrame, keys: Sequence[str] = S.KEYS, parent: str = PARENT_TEXT, current: str = CURRENT_TEXT,
     threshold: int = S.SIMILARITY_THRESHOLD, drop_empty: bool = False, partitions: int | None = None,
@@ -131,9 +198,8 @@ def diff_lines(
 
     Sentences that are equal on both sides cancel first, so that moved lines are no difference.
     """
-    sets = sentence_sets(line_set_diff(df, keys, parent, current, drop_empty, partitions), keys)
-    paired = sets.withColumn("texts_change", match_changed_sentences(F.col("deleted"), F.col("added"), threshold))
-    return paired.select(
+    sets = materialize(sentence_sets(line_set_diff(df, keys, parent, current, drop_empty, partitions), keys), "sentence-sets")
+    return match_sentence_sets(sets, threshold).select(
         *keys,
         F.array_except("deleted", F.col("texts_change.before")).alias("texts_removed"),
         F.array_except("added", F.col("texts_change.after")).alias("texts_insert"),

@@ -148,17 +148,16 @@ def _differing_middle(df: DataFrame, old: str, new: str) -> DataFrame:
     return df
 
 
-def element_actions(
-    df: DataFrame, patterns: dict[str, str] | None = None, keys: Sequence[str] = S.KEYS,
-    parent: str = PARENT_TEXT, current: str = CURRENT_TEXT, group: int = 0, aliases: DataFrame | None = None,
+def _met_elements(
+    df: DataFrame, patterns: dict[str, str] | None, keys: list[str], parent: str, current: str, group: int,
+    aliases: DataFrame | None,
 ) -> DataFrame:
-    """Rows (keys, type, change, insert, move, remove) for types with any element in a text that differs.
+    """Rows (keys, type, gained, lost, places): how many copies only one side has, and the new places of the others by old place.
 
-    All wikitext types, or those of the given patterns; `aliases` names further link prefixes per language. The texts are
-    hashed to their revision once; the groupings below are finer than that and need no shuffle.
+    Texts and what the scan found in them are hashed to their revision once; the groupings below are finer than that and
+    need no shuffle. The scan comes before it, for a Python step forgets how rows are dealt.
     """
-    keys = list(keys)
-    changed = df.where(~F.col(parent).eqNullSafe(F.col(current))).select(*keys, parent, current).repartition(*keys)
+    changed = df.where(~F.col(parent).eqNullSafe(F.col(current))).select(*keys, parent, current)
     texts = {"__old": F.coalesce(F.col(parent), F.lit("")), "__new": F.coalesce(F.col(current), F.lit(""))}
     kinds = [
         F.struct(F.lit(kind).alias("type"), *[_found(text, kind, pattern, group).alias(n) for n, text in texts.items()])
@@ -170,7 +169,7 @@ def element_actions(
             F.struct(F.lit(kind).alias("type"), *[_values_of(kind, F.col(f"{n}_found"), F.col("__types")).alias(n) for n in texts])
             for kind in BRACKETED
         ]
-    per_type = changed.select(*keys, F.inline(F.array(*kinds))).where((F.size("__old") > 0) | (F.size("__new") > 0))
+    per_type = changed.repartition(*keys).select(*keys, F.inline(F.array(*kinds))).where((F.size("__old") > 0) | (F.size("__new") > 0))
     rest = _differing_middle(per_type, "__old", "__new")
     placed = lambda side, is_new: F.transform(
         side, lambda v, i: F.struct(v.alias("value"), i.alias("place"), F.lit(is_new).alias("is_new"))
@@ -187,16 +186,26 @@ def element_actions(
         F.slice("__old", F.lit(1), both), F.slice("__new", F.lit(1), both),
         lambda a, b: F.struct(a.alias("old"), b.alias("new")),
     )
-    sums = places.groupBy(*keys, "type").agg(
-        F.sum(F.size("__new") - both).alias("__gained"),
-        F.sum(F.size("__old") - both).alias("__lost"),
-        F.array_sort(F.flatten(F.collect_list(met))).alias("__met"),
+    return places.groupBy(*keys, "type").agg(
+        F.sum(F.size("__new") - both).alias("gained"),
+        F.sum(F.size("__old") - both).alias("lost"),
+        F.array_sort(F.flatten(F.collect_list(met)))["new"].alias("places"),
     )
-    counted = sums.select(*keys, "type", "__gained", "__lost", out_of_order(F.col("__met.new")).alias("__moved"))
-    changes = F.least("__gained", "__lost")
-    return counted.select(
-        *keys, "type", changes.alias("change"), (F.col("__gained") - changes).alias("insert"),
-        F.col("__moved").cast("long").alias("move"), (F.col("__lost") - changes).alias("remove"),
+
+
+def element_actions(
+    df: DataFrame, patterns: dict[str, str] | None = None, keys: Sequence[str] = S.KEYS,
+    parent: str = PARENT_TEXT, current: str = CURRENT_TEXT, group: int = 0, aliases: DataFrame | None = None,
+) -> DataFrame:
+    """Rows (keys, type, change, insert, move, remove) for types with any element in a text that differs.
+
+    All wikitext types, or those of the given patterns; `aliases` names further link prefixes per language.
+    """
+    met = _met_elements(df, patterns, list(keys), parent, current, group, aliases)
+    changes = F.least("gained", "lost")
+    return met.select(
+        *keys, "type", changes.alias("change"), (F.col("gained") - changes).alias("insert"),
+        out_of_order(F.array("places"))[0].cast("long").alias("move"), (F.col("lost") - changes).alias("remove"),
     )
 
 
@@ -205,15 +214,21 @@ def edit_action_counts(
     parent: str = PARENT_TEXT, current: str = CURRENT_TEXT, group: int = 0, aliases: DataFrame | None = None,
 ) -> DataFrame:
     """Per revision with a text difference a map `<action>_<type>` → count, zero counts left out."""
-    rows = element_actions(df, patterns, keys, parent, current, group, aliases).select(
-        *keys,
-        F.inline(F.array(*[
-            F.struct(F.concat(F.lit(f"{a}_"), F.col("type")).alias("name"), F.col(a).cast("int").alias("n"))
-            for a in S.ACTION_TYPES
-        ])),
-    )
-    entries = F.collect_list(F.when(F.col("n") > 0, F.struct("name", "n")))
-    return rows.groupBy(*keys).agg(F.map_from_entries(entries).alias("actions"))
+    met = _met_elements(df, patterns, list(keys), parent, current, group, aliases)
+    types = met.groupBy(*keys).agg(F.collect_list(F.struct("type", "gained", "lost", "places")).alias("__t"))
+    moved = types.withColumn("__moved", out_of_order(F.transform("__t", lambda t: t["places"])))
+    changes = lambda t: F.least(t["gained"], t["lost"])
+    counts = {
+        "change": lambda t, _: changes(t), "insert": lambda t, _: t["gained"] - changes(t),
+        "move": lambda _, n: n, "remove": lambda t, _: t["lost"] - changes(t),
+    }
+    entries = F.flatten(F.array(*[
+        F.zip_with("__t", "__moved", lambda t, n: F.struct(  # noqa: B023
+            F.concat(F.lit(f"{a}_"), t["type"]).alias("name"), counts[a](t, n).cast("int").alias("n")  # noqa: B023
+        ))
+        for a in S.ACTION_TYPES
+    ]))
+    return moved.select(*keys, F.map_from_entries(F.filter(entries, lambda e: e["n"] > 0)).alias("actions"))
 
 
 def node_texts(

@@ -109,18 +109,24 @@ def link_prefix(link: Column) -> Column:
     return F.lower(F.regexp_extract(link, r"^\[\[\s*([^:|\[\]\x{FFFC}]*?)\s*:", 1))
 
 
-@F.arrow_udf(T.IntegerType())
-def _out_of_order(places: pa.Array) -> pa.Array:
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _out_of_order(lists: pa.Array) -> pa.Array:
     counts = []
-    for row in places:
-        tails: list[int] = []  # the least end of an increasing run of each length
-        for place in row.values.to_pylist() if row.is_valid else ():
-            at = bisect_left(tails, place)
-            tails[at:at + 1] = [place]
-        counts.append(len(row.values) - len(tails) if row.is_valid else None)
-    return pa.array(counts, pa.int32())
-
-
-def out_of_order(places: Column) -> Column:
-    """How many of distinct places must move so that the rest is in order: all but a longest increasing subsequence."""
-    return F.when(places == F.array_sort(places), 0).otherwise(_out_of_order(F.when(places != F.array_sort(places), places)))
+    for row in lists.to_pylist():
+        counts.append(None if row is None else [])
+        for places in row or ():
+            tails: list[int] = []  # the least end of an increasing run of each length
+            for place in places or ():
+                at = bisect_left(tails, place)
+                tails[at:at + 1] = [place]
+            counts[-1].append(len(places or ()) - len(tails))
+    return pa.array(counts, pa.list_(pa.int32()))
+
+
+def out_of_order(lists: Column) -> Column:
+    """For each of several lists of distinct places, how many must move so that the rest is in order: all but a longest
+    increasing subsequence. Only lists that are not in order reach Python."""
+    unsorted = F.transform(lists, lambda places: F.when(places != F.array_sort(places), places))
+    any_unsorted = F.exists(unsorted, lambda places: places.isNotNull())
+    none = F.transform(lists, lambda places: F.lit(0))
+    return F.when(any_unsorted, _out_of_order(F.when(any_unsorted, unsorted))).otherwise(none)

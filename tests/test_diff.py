@@ -5,12 +5,14 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from editlens import schema as S
+from editlens.functions.similarity import similar_pairs
 from editlens.functions.text import category_links, common_length, ratio, similarity_ratio
 from editlens.operators import diff, elements, markup
 
@@ -71,6 +73,63 @@ def test_matching_against_all_pairs(deleted, added):
         assert got == plain_match(deleted, added, threshold)
 
 
+LINES = st.lists(st.text(alphabet="abé🙂 ", max_size=9), max_size=8, unique=True)
+
+
+@given(LINES, LINES, st.sampled_from([0, 30, 60, 90]))
+@settings(max_examples=300, deadline=None)
+def test_similar_pairs(first, second, threshold):
+    got = sorted(zip(*map(np.ndarray.tolist, similar_pairs(first, second, threshold)), strict=True))
+    want = sorted((i, j, ratio(a, b)) for i, a in enumerate(first) for j, b in enumerate(second) if a and b and ratio(a, b) > threshold)
+    assert got == want
+
+
+def test_similar_pairs_of_long_texts():
+    rng = random.Random(8)
+    first = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([5, 63, 64, 65, 128, 200, 900]))) for _ in range(40)]
+    second = [t[: len(t) // 3] + t[len(t) // 3 + 7:] + "zz" for t in first] + first[:3]
+    got = set(zip(*map(np.ndarray.tolist, similar_pairs(first, second, 60)), strict=True))
+    assert got == {(i, j, ratio(a, b)) for i, a in enumerate(first) for j, b in enumerate(second) if ratio(a, b) > 60}
+
+
+def sentence_lists(seed, n):
+    """Lists of two revisions: edited sentences, and table rows that are all alike, so that ratios tie."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    old = {" ".join(rng.choice(words) for _ in range(rng.randint(3, 12))) for _ in range(n)}
+    new = {re.sub("a", lambda m: rng.choice("ab"), t) for t in old} - old
+    rows = {f"| row {i:03d} of the table" for i in range(n // 3)}
+    return sorted(old | {r for r in rows if hash_of(r) % 2}), sorted(new | {r for r in rows if not hash_of(r) % 2})
+
+
+def hash_of(text):
+    return sum(map(ord, text)) * 31
+
+
+def test_blocks_give_the_pairs_of_one_call(spark):
+    rows = [("a", i, *reversed(sentence_lists(i, n))) for i, n in ((1, 40), (2, 90), (3, 7))] + [("a", 4, [], ["x y"]), ("a", 5, ["x"], [])]
+    sets = spark.createDataFrame(rows, "wiki_db string, revision_id long, added array<string>, deleted array<string>")
+    key = lambda df: {r[S.ID]: [tuple(c) for c in r["texts_change"]] for r in df.collect()}
+    whole = key(diff.match_sentence_sets(sets))
+    assert key(diff.match_sentence_sets(sets, pairs_per_call=100, block=13)) == whole
+    for _, i, added, deleted in rows:
+        assert sorted(whole[i]) == plain_match(deleted, added, S.SIMILARITY_THRESHOLD)
+
+
+def test_one_large_revision_keeps_many_tasks_busy(spark):
+    old, new = sentence_lists(9, 2500)
+    sets = spark.createDataFrame([("a", 1, new, old)], "wiki_db string, revision_id long, added array<string>, deleted array<string>")
+    long = sets.withColumn("__rev", F.lit(7).cast("long"))
+    pairs = diff._block_pairs(long, S.SIMILARITY_THRESHOLD, 500).withColumn("task", F.spark_partition_id())
+    tasks = pairs.groupBy("task").count().collect()
+    assert len(tasks) > 3
+    row = diff.match_sentence_sets(sets).first()
+    assert len(old) * len(new) > diff.PAIRS_PER_CALL
+    befores, afters = [c["before"] for c in row["texts_change"]], [c["after"] for c in row["texts_change"]]
+    assert len(set(befores)) == len(befores) > 1000 and len(set(afters)) == len(afters)
+    assert set(befores) <= set(old) and set(afters) <= set(new)
+
+
 def test_similarity_column(spark):
     rows = [("kitten", "sitting"), ("abc", "abc"), ("", ""), ("", "x"), ("abcdef", "uvwxyz"), (None, "x")]
     df = spark.createDataFrame(rows, "a string, b string")
@@ -250,9 +309,9 @@ def longest_run(places):
 def test_moves_are_the_fewest(spark):
     rng = random.Random(6)
     lists = [rng.sample(range(30), rng.randint(0, 12)) for _ in range(200)] + [None, [], list(range(50))]
-    got = spark.createDataFrame([(v,) for v in lists], "p array<int>").select(F.col("p"), markup.out_of_order(F.col("p")).alias("n")).collect()
+    got = spark.createDataFrame([(v,) for v in lists], "p array<int>").select(F.col("p"), markup.out_of_order(F.array("p", "p"))[1].alias("n")).collect()
     for row in got:
-        assert row.n == (None if row.p is None else len(row.p) - longest_run(row.p))
+        assert row.n == len(row.p or ()) - longest_run(row.p or ())
 
 
 def test_a_rotation_is_one_move(spark):
