@@ -77,10 +77,10 @@ MARKUP = {
     "wiki_db": "wiki_db",
     "source": "source",
     "parent_text": "parent_text",
-    "revision_text": "CASE edit WHEN 0 THEN parent_text "
-                     "WHEN 1 THEN replace(replace(parent_text, '== About ', '=== History of '), ' the ', ' teh ') "
+    "revision_text": "CASE edit WHEN 1 THEN replace(replace(parent_text, '== About ', '=== History of '), ' the ', ' teh ') "
                      "WHEN 2 THEN replace(replace(parent_text, '{{Infobox|', '{{Box|other={{{x}}}|'), '{{{size|', '{{{length|') "
                      "WHEN 3 THEN replace(replace(parent_text, '<ref name=b/>', ''), ' checked ', ' seen again ') "
+                     "WHEN 0 THEN CASE WHEN revision_id % 20 = 1 THEN replace(parent_text, '>Book of ', ' page=2>Books. On ') ELSE parent_text END "
                      "WHEN 4 THEN replace(replace(replace(parent_text, '[[Category:', '[[KATEGORIJA:about '), '[[File:', '[[Datei:'), ' town|', ' city|') "
                      "WHEN 5 THEN replace(parent_text, concat('* first ', source, chr(10), '* second point', chr(10), '# third', chr(10)), "
                      "concat('* second point', chr(10), '# third', chr(10), '* first ', source, chr(10))) "

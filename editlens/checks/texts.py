@@ -82,9 +82,8 @@ def diff_lines_grouped(t: Tables):
 
 @query()
 def match_changed_sentences(t: Tables):
-    sets = diff.sentence_sets(diff.line_set_diff(t.pairs), S.KEYS)
-    matched = sets.select(*S.KEYS, diff.match_changed_sentences(F.col("deleted"), F.col("added")).alias("pairs"))
-    return matched.select(*S.KEYS, F.inline("pairs"))
+    sets = materialize(diff.sentence_sets(diff.line_set_diff(t.pairs), S.KEYS), "sentence-sets")
+    return diff.match_sentence_sets(sets).select(*S.KEYS, F.inline("texts_change"))
 
 
 # What every matching must keep, whatever its pairs: all sentences of both sides are there once, pairs are similar, and among
@@ -175,6 +174,25 @@ def collect_node_texts(t: Tables):
     return rows.select(ID, "node_type", "action", F.size("texts").cast("long").alias("row_count"), letters.alias("letters"))
 
 
+# References, by how the pages were edited: one reworded and cut in two sentences, one dropped, one added.
+@query("""SELECT revision_id, 'Reference' AS node_type, action, CASE WHEN starts_with(t, '<ref name=a>') OR starts_with(t, 'On') THEN concat(t, source, '</ref>') ELSE t END AS before, after
+FROM markup JOIN (VALUES (1, 'change', '<ref name=a>Book of ', '<ref name=a page=2>Books'), (1, 'insert', 'On ', NULL),
+  (4, 'remove', '<ref name=b/>', NULL), (0, 'insert', '<ref>new</ref>', NULL)) v(last_digit, action, t, after) ON revision_id % 10 = last_digit
+WHERE last_digit <> 1 OR revision_id % 20 = 1""")
+def collect_node_texts_changed(t: Tables):
+    nodes = elements.node_texts(t.markup, kinds=["Reference"], aliases=t.link_aliases)
+    maps = diff.collect_node_texts(diff.pair_changed_nodes(nodes), ["Reference"])
+    none = F.lit(None).cast("string")
+    rows = [
+        maps.select(ID, F.explode(column).alias("node_type", "texts")).select(ID, "node_type", F.explode("texts").alias("t")).select(
+            ID, "node_type", F.lit(action).alias("action"),
+            *([F.col("t.before").alias("before"), F.col("t.after").alias("after")] if action == "change" else [F.col("t").alias("before"), none.alias("after")]),
+        )
+        for column, action in (("texts_removed", "remove"), ("texts_insert", "insert"), ("texts_change", "change"))
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 _LIST_SAME = "coalesce(list_position(list_transform(list_zip({0}, {1}), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) - 1, greatest(len({0}), len({1})))"
 
 # Elements per revision and type as two lists `o` and `n` in table e → gained, lost and moved ones in table a. What moved is

@@ -229,13 +229,64 @@ def diff_or_empty(revisions: DataFrame, diffs: DataFrame, keys: Sequence[str] =
     return joined.withColumns(filled)
 
 
+def pair_changed_nodes(
+    nodes: DataFrame, keys: Sequence[str] = S.KEYS, threshold: int = S.SIMILARITY_THRESHOLD
+) -> DataFrame:
+    """Rows (keys, node_type, action `remove` or `insert`, text) → the same with similar nodes paired as `change`.
+
+    Removed and inserted nodes of a revision and type are paired like sentences, each copy of a text with one copy. A pair
+    is then compared sentence by sentence: similar ones become rows `change` with `text` and `text_after`, the others
+    `remove` and `insert`; sentences the two nodes share are no difference.
+    """
+    by = [*keys, "node_type"]
+    counts = nodes.groupBy(*by, "action", "text").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    side = lambda action: F.array_sort(F.collect_list(F.when(F.col("action") == action, F.struct("text", "n"))))
+    sides = counts.groupBy(*by).agg(side("remove").alias("old"), side("insert").alias("new"))
+    sets = materialize(sides.select("*", F.col("old.text").alias("deleted"), F.col("new.text").alias("added")), "node-sets")
+    matched = match_sentence_sets(sets, threshold).select(*by, "old", "new", "texts_change").withColumns({
+        "n_old": F.map_from_entries("old"), "n_new": F.map_from_entries("new"),
+    })
+    copies = lambda c: F.least(F.element_at("n_old", c["before"]), F.element_at("n_new", c["after"]))
+    matched = materialize(matched.withColumn("pairs", F.transform(
+        "texts_change", lambda c: F.struct(c["before"].alias("before"), c["after"].alias("after"), copies(c).alias("n"))
+    )), "node-pairs")
+
+    def rest(of: str, name: str, action: str) -> DataFrame:
+        """Copies of a side's nodes that no pair has taken."""
+        taken = F.map_from_entries(F.transform("pairs", lambda p: F.struct(p[name], p["n"])))
+        rows = matched.select(*by, taken.alias("taken"), F.explode(of).alias("e"))
+        left = F.col("e.n") - F.coalesce(F.element_at("taken", F.col("e.text")), F.lit(0))
+        return rows.where(left > 0).select(
+            *by, F.lit(action).alias("action"), F.explode(F.array_repeat("e.text", left)).alias("text"), F.lit(None).cast("string").alias("text_after")
+        )
+
+    pairs = matched.select(*by, F.posexplode("pairs").alias("__pair", "p")).select(
+        *by, "__pair", F.col("p.before").alias(PARENT_TEXT), F.col("p.after").alias(CURRENT_TEXT), F.col("p.n").alias("__n")
+    )
+    inside = diff_lines(pairs, [*by, "__pair", "__n"], threshold=threshold)
+    entry = lambda action, text, after: F.struct(F.lit(action).alias("action"), text.alias("text"), after.alias("text_after"))
+    none = F.lit(None).cast("string")
+    entries = F.concat(
+        F.transform("texts_removed", lambda t: entry("remove", t, none)), F.transform("texts_insert", lambda t: entry("insert", t, none)),
+        F.transform("texts_change", lambda c: entry("change", c["before"], c["after"])),
+    )
+    changed = inside.select(*by, "__n", F.inline(entries)).where((F.length("text") > 0) | (F.col("action") == "change"))
+    changed = changed.select(*by, "action", F.explode(F.array_repeat("text", F.col("__n"))).alias("text"), "text_after")
+    return rest("old", "before", "remove").unionByName(rest("new", "after", "insert")).unionByName(changed)
+
+
 def collect_node_texts(
     nodes: DataFrame, kinds: Sequence[str] = S.NODE_TYPES, keys: Sequence[str] = S.KEYS
 ) -> DataFrame:
-    """Rows (keys, node_type, action, text) → per revision three maps node type → texts."""
+    """Rows (keys, node_type, action, text) → per revision three maps node type → texts.
+
+    Nodes that went through `pair_changed_nodes` have a column `text_after`; their changes are (before, after) pairs.
+    """
+    paired = "text_after" in nodes.columns
+    change = F.struct(F.col("text").alias("before"), F.col("text_after").alias("after")) if paired else F.col("text")
     wanted = nodes.where(F.col("node_type").isin(list(kinds)))
     per_type = wanted.groupBy(*keys, "node_type").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("action") == a, F.col("text")))).alias(a)
+        F.array_sort(F.collect_list(F.when(F.col("action") == a, change if a == "change" else F.col("text")))).alias(a)
         for a in ("remove", "insert", "change")
     ])
     texts = lambda a: F.map_from_entries(

@@ -232,18 +232,31 @@ def edit_action_counts(
 
 
 def node_texts(
-    df: DataFrame, patterns: dict[str, str], keys: Sequence[str] = S.KEYS, parent: str = PARENT_TEXT,
-    current: str = CURRENT_TEXT, group: int = 0,
+    df: DataFrame, patterns: dict[str, str] | None = None, keys: Sequence[str] = S.KEYS, parent: str = PARENT_TEXT,
+    current: str = CURRENT_TEXT, group: int = 0, kinds: Sequence[str] = S.NODE_TYPES, aliases: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows (keys, node_type, action, text) of elements only one of the two texts has, one per extra copy."""
+    """Rows (keys, node_type, action, text) of elements only one of the two texts has, one per extra copy.
+
+    Wikitext elements of the given kinds, or those of the given patterns.
+    """
     keys = list(keys)
-    changed = df.where(~F.col(parent).eqNullSafe(F.col(current))).select(*keys, parent, current).repartition(*keys)
-    found = F.concat(
-        _matches(F.coalesce(F.col(parent), F.lit("")), "old", patterns, group),
-        _matches(F.coalesce(F.col(current), F.lit("")), "new", patterns, group),
-    )
+    changed = df.where(~F.col(parent).eqNullSafe(F.col(current))).select(*keys, parent, current)
+    sides = {"old": F.coalesce(F.col(parent), F.lit("")), "new": F.coalesce(F.col(current), F.lit(""))}
+    flat = patterns if patterns is not None else {k: p for k, p in WIKITEXT_PATTERNS.items() if k in kinds}
+    found = [_matches(text, side, flat, group) for side, text in sides.items()] if flat else []
+    scanned = [k for k in BRACKETED if k in kinds] if patterns is None else []
+    if scanned:
+        changed = with_link_types(changed.withColumns({f"__{n}": bracketed_elements(text) for n, text in sides.items()}), aliases, "__types")
+        found += [
+            F.transform(
+                _values_of(kind, F.col(f"__{side}"), F.col("__types")),
+                lambda v, i: F.struct(F.lit(kind).alias("type"), F.lit(side).alias("side"), i.alias("place"), v.alias("value")),  # noqa: B023
+            )
+            for kind in scanned for side in sides
+        ]
     weight = F.when(F.col("side") == "new", 1).otherwise(-1)
-    deltas = changed.select(*keys, F.inline(found)).groupBy(*keys, "type", "value").agg(F.sum(weight).alias("__d"))
+    rows = changed.repartition(*keys).select(*keys, F.inline(F.concat(*found)))
+    deltas = rows.groupBy(*keys, "type", "value").agg(F.sum(weight).alias("__d"))
     return deltas.where(F.col("__d") != 0).select(
         *keys, F.col("type").alias("node_type"),
         F.when(F.col("__d") > 0, "insert").otherwise("remove").alias("action"),

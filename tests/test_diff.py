@@ -208,6 +208,34 @@ def test_node_texts(spark):
     assert row["texts_insert"] == {"Reference": ["<ref>y</ref>"]} and row["texts_removed"] == {"Reference": ["<ref>x</ref>"]}
 
 
+def test_changed_nodes(spark):
+    rows = [
+        ("a", 1, "<ref>Old book of maps</ref> <ref>quite unlike text</ref>", "<ref>Old books of maps</ref> <ref>0123456789 0123456789</ref>"),
+        ("a", 2, "<ref>same one. second here</ref>" * 3, "<ref>same one. second there</ref>" * 2),
+        ("a", 3, "<ref>x</ref>", "<ref>x</ref>"), ("b", 1, None, "<ref>fresh</ref>"), ("b", 2, "t", "u"),
+    ]
+    df = spark.createDataFrame(rows, PAIR_SCHEMA)
+    nodes = diff.pair_changed_nodes(elements.node_texts(df, {"Reference": "<ref>([^<]*)</ref>", "Text": "^[a-z]$"}, group=0))
+    found = by_key(diff.collect_node_texts(nodes))
+    assert set(found) == {("a", 1), ("a", 2), ("b", 1), ("b", 2)}
+    one, two = found["a", 1], found["a", 2]
+    assert {k: [tuple(c) for c in v] for k, v in one["texts_change"].items()} == {"Reference": [("<ref>Old book of maps</ref>", "<ref>Old books of maps</ref>")]}
+    assert one["texts_removed"] == {"Reference": ["<ref>quite unlike text</ref>"]} and one["texts_insert"] == {"Reference": ["<ref>0123456789 0123456789</ref>"]}
+    # Two of three copies are changed, in one of their sentences; the third is gone.
+    assert [tuple(c) for c in two["texts_change"]["Reference"]] == [("second here</ref>", "second there</ref>")] * 2
+    assert two["texts_removed"] == {"Reference": ["<ref>same one. second here</ref>"]} and two["texts_insert"] == {}
+    assert found["b", 1]["texts_insert"] == {"Reference": ["<ref>fresh</ref>"]} and found["b", 2]["texts_removed"] == {"Text": ["t"]}
+
+
+def test_node_texts_of_wikitext(spark):
+    df = spark.createDataFrame([("a", 1, "line one\n<ref>{{cite|a}} x</ref>", "line one\n<ref>{{cite|b}} y</ref>\nmore")], PAIR_SCHEMA)
+    rows = {(r.node_type, r.action, r.text) for r in elements.node_texts(df).collect()}
+    ref = lambda x: ("Reference", f"<ref>{markup.MARK} {x}</ref>")
+    assert {(k, t) for k, a, t in rows if a == "remove" and k == "Reference"} == {ref("x")}
+    assert {(k, t) for k, a, t in rows if a == "insert" and k == "Reference"} == {ref("y")}
+    assert ("Text", "insert", "more") in rows
+
+
 def test_categories(spark):
     df = spark.createDataFrame([("[[Category:A, b]] [[kategorie:C:d]] [[File:x]] [[plain]]", ["category", "kategorie"])], "t string, al array<string>")
     assert df.select(category_links(F.col("t"), F.col("al"))).first()[0] == ["A b", "C:d"]
