@@ -29,18 +29,19 @@ TIERS = (94, 88, 80, 70)
 
 def line_set_diff(
     df: DataFrame, keys: Sequence[str] = S.KEYS, parent: str = PARENT_TEXT, current: str = CURRENT_TEXT,
-    drop_empty: bool = False, partitions: int | None = None,
+    drop_empty: bool = False, partitions: int | None = None, dealt: bool = False,
 ) -> DataFrame:
     """Lines whose number of copies differs: `delta` > 0 for lines gained, < 0 for lines lost.
 
-    `partitions` fixes the number of tasks, for jobs whose later steps cost more than their bytes tell.
+    `partitions` fixes the number of tasks, for jobs whose later steps cost more than their bytes tell. `dealt` says that the
+    texts are dealt by the keys already, as in a bucketed table, and stay where they are.
     """
     changed = df.where(~F.col(parent).eqNullSafe(F.col(current))).select(*keys, parent, current)
     side = lambda text, weight: F.transform(
         split_lines(F.coalesce(F.col(text), F.lit(""))),
         lambda line: F.struct(line.alias("line"), F.lit(weight).alias("__w")),
     )
-    hashed = changed.repartition(partitions, *keys) if partitions else changed.repartition(*keys)
+    hashed = changed if dealt else changed.repartition(*([partitions] if partitions else []), *keys)
     lines = hashed.select(*keys, F.inline(F.concat(side(current, 1), side(parent, -1))))
     if drop_empty:
         lines = lines.where(F.length("line") > 0)
@@ -192,13 +193,13 @@ def match_sentence_sets(
 
 def diff_lines(
     df: DataFrame, keys: Sequence[str] = S.KEYS, parent: str = PARENT_TEXT, current: str = CURRENT_TEXT,
-    threshold: int = S.SIMILARITY_THRESHOLD, drop_empty: bool = False, partitions: int | None = None,
+    threshold: int = S.SIMILARITY_THRESHOLD, drop_empty: bool = False, partitions: int | None = None, dealt: bool = False,
 ) -> DataFrame:
     """Per revision with a text difference: inserted and removed sentences, and changed pairs.
 
     Sentences that are equal on both sides cancel first, so that moved lines are no difference.
     """
-    sets = materialize(sentence_sets(line_set_diff(df, keys, parent, current, drop_empty, partitions), keys), "sentence-sets")
+    sets = materialize(sentence_sets(line_set_diff(df, keys, parent, current, drop_empty, partitions, dealt), keys), "sentence-sets")
     return match_sentence_sets(sets, threshold).select(
         *keys,
         F.array_except("deleted", F.col("texts_change.before")).alias("texts_removed"),

@@ -67,18 +67,34 @@ def _matches(text: Column, side: str, patterns: dict[str, str], group: int) -> C
     return F.flatten(F.array(*per_type))
 
 
+#: Link prefixes of all languages together; the table of them is sent to every task.
+MOST_ALIASES = 10_000
+#: Columns with the bracketed elements of the parent's and the current text.
+OLD_FOUND, NEW_FOUND = "__old_found", "__new_found"
+
+
+def scan_brackets(df: DataFrame, parent: str = PARENT_TEXT, current: str = CURRENT_TEXT) -> DataFrame:
+    """Adds what the scan finds in both texts, for texts that are written once and compared later."""
+    return df.withColumns({
+        name: bracketed_elements(F.coalesce(F.col(text), F.lit(""))) for name, text in ((OLD_FOUND, parent), (NEW_FOUND, current))
+    })
+
+
 def with_link_types(df: DataFrame, aliases: DataFrame | None, name: str, wiki: str = S.WIKI) -> DataFrame:
     """Adds a map from lower-cased link prefixes to types: those of the row's language and those all languages have.
 
-    `aliases` has rows (lang, alias, type), a few per language; upper and lower case are the same in any script.
+    `aliases` has rows (lang, alias, type), a few per language; upper and lower case are the same in any script. More than
+    MOST_ALIASES rows are an error.
     """
     common = F.create_map(*[F.lit(x) for pair in LINK_PREFIXES.items() for x in pair])
     if aliases is None:
         return df.withColumn(name, common)
+    if len(aliases.limit(MOST_ALIASES + 1).take(MOST_ALIASES + 1)) > MOST_ALIASES:
+        raise ValueError("too many link aliases to send to every task")
     alias = F.lower(F.trim("alias")).alias("alias")
     unique = aliases.where(~alias.isin(list(LINK_PREFIXES))).groupBy(F.col("lang").alias("__lang"), alias).agg(F.min("type").alias("type"))
     maps = unique.groupBy("__lang").agg(F.map_from_entries(F.collect_list(F.struct("alias", "type"))).alias("__own"))
-    joined = df.join(maps, language_code(F.col(wiki)) == F.col("__lang"), "left")
+    joined = df.join(F.broadcast(maps), language_code(F.col(wiki)) == F.col("__lang"), "left")
     own = F.coalesce("__own", F.create_map().cast("map<string,string>"))
     return joined.withColumn(name, F.map_concat(common, own)).drop("__lang", "__own")
 
@@ -150,26 +166,27 @@ def _differing_middle(df: DataFrame, old: str, new: str) -> DataFrame:
 
 def _met_elements(
     df: DataFrame, patterns: dict[str, str] | None, keys: list[str], parent: str, current: str, group: int,
-    aliases: DataFrame | None,
+    aliases: DataFrame | None, dealt: bool,
 ) -> DataFrame:
     """Rows (keys, type, gained, lost, places): how many copies only one side has, and the new places of the others by old place.
 
     Texts and what the scan found in them are hashed to their revision once; the groupings below are finer than that and
     need no shuffle. The scan comes before it, for a Python step forgets how rows are dealt.
     """
-    changed = df.where(~F.col(parent).eqNullSafe(F.col(current))).select(*keys, parent, current)
+    found = [c for c in (OLD_FOUND, NEW_FOUND) if patterns is None and c in df.columns]
+    changed = df.where(~F.col(parent).eqNullSafe(F.col(current))).select(*keys, parent, current, *found)
     texts = {"__old": F.coalesce(F.col(parent), F.lit("")), "__new": F.coalesce(F.col(current), F.lit(""))}
     kinds = [
         F.struct(F.lit(kind).alias("type"), *[_found(text, kind, pattern, group).alias(n) for n, text in texts.items()])
         for kind, pattern in (WIKITEXT_PATTERNS if patterns is None else patterns).items()
     ]
     if patterns is None:
-        changed = with_link_types(changed.withColumns({f"{n}_found": bracketed_elements(text) for n, text in texts.items()}), aliases, "__types")
+        changed = with_link_types(changed if found else scan_brackets(changed, parent, current), aliases, "__types")
         kinds += [
             F.struct(F.lit(kind).alias("type"), *[_values_of(kind, F.col(f"{n}_found"), F.col("__types")).alias(n) for n in texts])
             for kind in BRACKETED
         ]
-    per_type = changed.repartition(*keys).select(*keys, F.inline(F.array(*kinds))).where((F.size("__old") > 0) | (F.size("__new") > 0))
+    per_type = (changed if dealt else changed.repartition(*keys)).select(*keys, F.inline(F.array(*kinds))).where((F.size("__old") > 0) | (F.size("__new") > 0))
     rest = _differing_middle(per_type, "__old", "__new")
     placed = lambda side, is_new: F.transform(
         side, lambda v, i: F.struct(v.alias("value"), i.alias("place"), F.lit(is_new).alias("is_new"))
@@ -196,12 +213,14 @@ def _met_elements(
 def element_actions(
     df: DataFrame, patterns: dict[str, str] | None = None, keys: Sequence[str] = S.KEYS,
     parent: str = PARENT_TEXT, current: str = CURRENT_TEXT, group: int = 0, aliases: DataFrame | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Rows (keys, type, change, insert, move, remove) for types with any element in a text that differs.
 
-    All wikitext types, or those of the given patterns; `aliases` names further link prefixes per language.
+    All wikitext types, or those of the given patterns; `aliases` names further link prefixes per language. `dealt` says that
+    the texts are dealt by the keys already and, for wikitext types, went through `scan_brackets`.
     """
-    met = _met_elements(df, patterns, list(keys), parent, current, group, aliases)
+    met = _met_elements(df, patterns, list(keys), parent, current, group, aliases, dealt)
     changes = F.least("gained", "lost")
     return met.select(
         *keys, "type", changes.alias("change"), (F.col("gained") - changes).alias("insert"),
@@ -212,9 +231,10 @@ def element_actions(
 def edit_action_counts(
     df: DataFrame, patterns: dict[str, str] | None = None, keys: Sequence[str] = S.KEYS,
     parent: str = PARENT_TEXT, current: str = CURRENT_TEXT, group: int = 0, aliases: DataFrame | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Per revision with a text difference a map `<action>_<type>` → count, zero counts left out."""
-    met = _met_elements(df, patterns, list(keys), parent, current, group, aliases)
+    met = _met_elements(df, patterns, list(keys), parent, current, group, aliases, dealt)
     types = met.groupBy(*keys).agg(F.collect_list(F.struct("type", "gained", "lost", "places")).alias("__t"))
     moved = types.withColumn("__moved", out_of_order(F.transform("__t", lambda t: t["places"])))
     changes = lambda t: F.least(t["gained"], t["lost"])

@@ -6,39 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editlens import schema as S
+from editlens.session import materialize_bucketed
 
 
+def wanted_texts(
+    revisions: DataFrame, wikitext: DataFrame, buckets: int, text: str = "revision_text", keys: Sequence[str] = (S.WIKI,)
+) -> DataFrame:
+    """The texts that revisions and their parents ask for, written in buckets by revision.
+
+    The text table, by far the largest, moves once; a table that is bucketed already needs no such copy. With as many buckets
+    as shuffle partitions each bucket is one file.
+    """
+    by = [*keys, S.ID]
+    ids = revisions.select(*keys, F.explode(F.array(S.ID, S.PARENT)).alias(S.ID)).where(F.col(S.ID).isNotNull()).distinct()
+    texts = wikitext.where(F.col(text).isNotNull()).select(*by, text)
+    return materialize_bucketed(texts.join(ids, by, "left_semi"), "wanted_texts", by, buckets)
+
 
 def join_revision_texts(
     revisions: DataFrame, wikitext: DataFrame, text: str = "revision_text", keys: Sequence[str] = (S.WIKI,)
 ) -> DataFrame:
-    """Attaches each revision's own text and its parent's; keeps revisions that have both.
+    """Attaches each revision's own text and its parent's; keeps revisions that have both. Texts are unique by revision.
 
-    Both lookups share one pass over the text table: every revision asks for two ids, one join answers both,
-    and the two answers meet again per revision.
+    Over a bucketed text table both lookups read it in place. The parent is looked up first, so that only its text moves, to
+    the bucket of the revision; the result is dealt by revision.
     """
-    keys = list(keys)
-    wanted = revisions.select(
-        *keys,
-        F.col(S.ID),
-        F.inline(F.array(
-            F.struct(F.col(S.ID).alias("__text_id"), F.lit(True).alias("__own")),
-            F.struct(F.col(S.PARENT).alias("__text_id"), F.lit(False).alias("__own")),
-        )),
-    )
-    texts = wikitext.where(F.col(text).isNotNull()).select(
-        *keys, F.col(S.ID).alias("__text_id"), F.col(text).alias("__text")
-    )
-    found = wanted.join(texts, [*keys, "__text_id"])
-    both = (
-        found.groupBy(*keys, S.ID)
-        .agg(
-            F.max(F.when(F.col("__own"), F.col("__text"))).alias("revision_text"),
-            F.max(F.when(~F.col("__own"), F.col("__text"))).alias("parent_text"),
-        )
-        .where(F.col("revision_text").isNotNull() & F.col("parent_text").isNotNull())
-    )
-    return revisions.join(both, [*keys, S.ID])
+    by = [*keys, S.ID]
+    texts = wikitext.where(F.col(text).isNotNull()).select(*by, text)
+    parents = texts.withColumnsRenamed({S.ID: S.PARENT, text: "parent_text"})
+    own = texts.withColumnsRenamed({text: "__text"})
+    both = revisions.join(parents, [*keys, S.PARENT]).join(own, by)
+    return both.select(*revisions.columns, F.col("__text").alias("revision_text"), "parent_text")
 
 
 def join_wanted(table: DataFrame, wanted: DataFrame, keys: Sequence[str] = S.KEYS) -> DataFrame:

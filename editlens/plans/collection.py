@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from editlens import schema as S
 from editlens.operators import diff, elements, joins, revisions
 from editlens.operators.sampling import sample_cap
-from editlens.session import materialize
+from editlens.session import materialize, materialize_bucketed
 from editlens.sources.tables import scan_history, scan_wikitext
 
 
@@ -26,6 +26,8 @@ class CollectionSettings:
     drop_revert_wars: bool = False
     anonymous_only: bool = False
     max_rows_per_wiki: int | None = None
+    #: Buckets of the text table, if it is bucketed by wiki and revision.
+    text_buckets: int | None = None
 
 
 def filtered_revisions(history: DataFrame, settings: CollectionSettings = CollectionSettings()) -> DataFrame:
@@ -50,20 +52,33 @@ def filtered_revisions(history: DataFrame, settings: CollectionSettings = Collec
     return rows
 
 
-def text_differences(filtered: DataFrame, wikitext: DataFrame, settings: CollectionSettings = CollectionSettings()):
-    """Filtered revisions that have both texts, with removed, inserted and changed texts and action counts."""
+def text_differences(
+    filtered: DataFrame, wikitext: DataFrame, settings: CollectionSettings = CollectionSettings(),
+    aliases: DataFrame | None = None,
+) -> DataFrame:
+    """Filtered revisions that have both texts, with removed, inserted and changed texts and action counts.
+
+    Texts and their scan are written once in buckets by revision; both differences and the last join start from there.
+    """
     filtered = materialize(filtered, "filtered")
-    texts = joins.join_revision_texts(filtered, scan_wikitext(wikitext, settings.text_snapshot, settings.wikis))
-    texts = materialize(texts.select(*S.KEYS, "revision_text", "parent_text"), "texts")
-    sentences = diff.diff_lines(texts)
-    actions = elements.edit_action_counts(texts)
-    kept = filtered.join(texts.select(*S.KEYS), S.KEYS)
+    texts = scan_wikitext(wikitext, settings.text_snapshot, settings.wikis)
+    buckets = settings.text_buckets
+    if buckets is None:
+        buckets = int(filtered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        texts = joins.wanted_texts(filtered, texts, buckets)
+    both = joins.join_revision_texts(filtered.select(*S.KEYS, S.PARENT), texts).drop(S.PARENT)
+    both = materialize_bucketed(elements.scan_brackets(both), "revision_texts", S.KEYS, buckets)
+    sentences = diff.diff_lines(both, dealt=True)
+    actions = elements.edit_action_counts(both, aliases=aliases, dealt=True)
+    kept = filtered.join(both.select(*S.KEYS), S.KEYS)
     return diff.diff_or_empty(kept, sentences.join(actions, S.KEYS, "full_outer"))
 
 
-def collect(history: DataFrame, wikitext: DataFrame, settings: CollectionSettings = CollectionSettings()) -> DataFrame:
+def collect(
+    history: DataFrame, wikitext: DataFrame, settings: CollectionSettings = CollectionSettings(), aliases: DataFrame | None = None
+) -> DataFrame:
     """The whole job."""
-    return text_differences(filtered_revisions(history, settings), wikitext, settings)
+    return text_differences(filtered_revisions(history, settings), wikitext, settings, aliases)
 
 
 def revert_overview(history: DataFrame, keys: tuple[str, ...] = (S.WIKI,)) -> DataFrame:
