@@ -463,7 +463,7 @@ def join_page_region(t: Tables):
 @query("""SELECT h.revision_id, h.address, b.country_name FROM history h
 LEFT JOIN ip_blocks b ON h.address BETWEEN b.ip_start AND b.ip_end""")
 def join_ip_range(t: Tables):
-    rows = joins.join_ip_range(t.history.select(ID, "address"), t.ip_blocks, "address", ["country_name"], block_bits=10)
+    rows = joins.join_ip_range(t.history.select(ID, "address"), t.ip_blocks, "address", ["country_name"])
     return rows.select(ID, "address", "country_name")
 
 

@@ -115,26 +115,50 @@ def join_page_region(df: DataFrame, regions: DataFrame, title: str = S.TITLE, re
     return _left_join_spread(df, resolved, title).withColumn(region, F.coalesce(region, F.lit("Unknown")))
 
 
+#: From this many low bits on, the addresses under one prefix are dealt to several tasks: twice as many per bit, up to 2^10.
+SPREAD_FROM, MOST_SPREAD = 16, 10
+
+
+def _spread(level: str) -> str:
+    return f"shiftleft(1L, greatest(0, least({level} - {SPREAD_FROM}, {MOST_SPREAD})))"
+
+
+def aligned_pieces(blocks: DataFrame, bits: int = 32) -> DataFrame:
+    """Blocks [ip_start, ip_end] as rows (level, prefix, ...) of a prefix trie: the fewest aligned ranges of 2^level addresses.
+
+    A block that is a power of two wide and aligned is one row, any other at most two per level. What lies outside of the
+    addresses of so many bits is cut off; a block that ends before it starts has no rows.
+    """
+    low, high = "greatest(ip_start, 0L)", f"least(ip_end, {(1 << bits) - 1}L)"
+    levels = F.expr(f"""transform(sequence(0, {bits}), k -> struct(
+        k AS level, shiftright({low} + shiftleft(1L, k) - 1, k) AS first, shiftright({high} + 1, k) AS after))""")
+    inside = blocks.where("ip_start IS NOT NULL AND ip_end IS NOT NULL")
+    per_level = inside.select("*", F.inline(levels)).where(F.col("first") < F.col("after"))
+    ends = F.array(F.when(F.col("first") % 2 == 1, F.col("first")), F.when(F.col("after") % 2 == 1, F.col("after") - 1))
+    return per_level.select("*", F.explode(F.array_compact(ends)).alias("prefix")).drop("first", "after")
+
+
 def join_ip_range(
-    df: DataFrame, blocks: DataFrame, address: str, attributes: Sequence[str], block_bits: int = 16
+    df: DataFrame, blocks: DataFrame, address: str, attributes: Sequence[str], bits: int = 32
 ) -> DataFrame:
-    """Attributes of the narrowest block [ip_start, ip_end] that holds the address; none → nulls.
+    """Attributes of the narrowest block [ip_start, ip_end] that holds the address, ties to the lowest start; none → nulls.
 
-    Each distinct address is resolved once. Blocks are listed under every prefix they touch, so the range join
-    is an equi join on the prefix plus a bound check.
+    Each distinct address is resolved once: it asks for its prefix on every level of a trie that holds the blocks, so the
+    work grows with addresses plus blocks, however wide blocks are or how many lie close together. The addresses under a
+    wide block are dealt to many tasks, each of which gets the block.
     """
-    width = 1 << block_bits
-    probes = df.where(F.col(address).isNotNull()).select(address).distinct()
-    probes = probes.withColumn("__prefix", F.floor(F.col(address) / width))
-    listed = blocks.select(
-        "ip_start", "ip_end", *attributes,
-        F.explode(F.sequence(F.floor(F.col("ip_start") / width), F.floor(F.col("ip_end") / width))).alias("__prefix"),
+    pieces = aligned_pieces(blocks.select("ip_start", "ip_end", *attributes), bits)
+    listed = pieces.select("*", F.explode(F.expr(f"sequence(0L, {_spread('level')} - 1)")).alias("__deal"))
+    probes = df.where(F.col(address).isNotNull()).select(F.col(address).cast("long").alias("__address")).distinct()
+    asked = probes.select("__address", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("level")).select(
+        "__address", "level", F.expr("shiftright(__address, level)").alias("prefix"),
+        F.expr(f"pmod(__address, {_spread('level')})").alias("__deal"),
     )
-    hits = probes.join(listed, "__prefix").where(F.col(address).between(F.col("ip_start"), F.col("ip_end")))
-    narrowest = hits.groupBy(address).agg(
+    hits = asked.join(listed, ["level", "prefix", "__deal"])
+    narrowest = hits.groupBy("__address").agg(
         F.min_by(F.struct(*attributes), F.struct(F.col("ip_end") - F.col("ip_start"), "ip_start")).alias("__hit")
     )
-    resolved = narrowest.select(address, *[F.col(f"__hit.{a}").alias(a) for a in attributes])
+    resolved = narrowest.select(F.col("__address").alias(address), *[F.col(f"__hit.{a}").alias(a) for a in attributes])
     return _left_join_spread(df, resolved, address)
 
 

@@ -94,7 +94,7 @@ def test_texts_need_both_sides(spark):
 def test_narrowest_block_wins(spark):
     blocks = spark.createDataFrame([(0, 10_000, "wide"), (500, 600, "narrow"), (70_000, 70_000, "one")], "ip_start long, ip_end long, c string")
     probes = spark.createDataFrame([(1, 550), (2, 700), (3, 70_000), (4, 60_000), (5, None), (6, 550)], "id long, ip long")
-    rows = {r["id"]: r["c"] for r in joins.join_ip_range(probes, blocks, "ip", ["c"], block_bits=8).collect()}
+    rows = {r["id"]: r["c"] for r in joins.join_ip_range(probes, blocks, "ip", ["c"]).collect()}
     assert rows == {1: "narrow", 2: "wide", 3: "one", 4: None, 5: None, 6: "narrow"}
 
 
