@@ -10,7 +10,7 @@ from editlens.functions import scores as Sc
 from editlens.functions.text import (
     decode_counts, decode_pairs, decode_strings, encode_counts, encode_pairs, encode_strings, language_code,
 )
-from editlens.operators import diff, joins, revisions as R
+from editlens.operators import diff, edit_features as EF, joins, revisions as R
 from editlens.plans.collection import CollectionSettings, filtered_revisions, revert_overview
 from editlens.session import work_path
 from editlens.sources import files, tables
@@ -359,14 +359,40 @@ def expand_actions(t: Tables):
     return R.expand_actions(t.history.select(ID, counts.alias("actions"))).drop("actions")
 
 
-@query("""SELECT revision_id, CASE WHEN revision_id % 4 <> 0 THEN user_id END AS user_age,
-CASE WHEN revision_id % 4 <> 0 THEN revision_text_bytes_diff END AS revision_text_bytes FROM history""")
+_COUNTS = ("text_length", "reference_count", "wikilink_count", "category_count", "media_count", "heading_count")
+_RANGE = "CAST(least(floor({0}.quality_score * 6 + 1e-9), 5) AS BIGINT)"
+EDIT_FEATURES_SQL = f"""SELECT h.revision_id, h.wiki_db, coalesce(array_to_string(event_user_groups, ','), '') AS user_groups,
+CASE WHEN page_title IS NOT NULL THEN s - lag(s) OVER (PARTITION BY h.wiki_db, page_title ORDER BY s, h.revision_id) END AS page_seconds_since_previous_revision,
+count(*) OVER (PARTITION BY h.wiki_db, event_user_text_historical ORDER BY s, h.revision_id) AS user_revision_count,
+s - min(s) OVER (PARTITION BY h.wiki_db, event_user_text_historical) AS user_age,
+CASE WHEN page_title IS NOT NULL THEN s - min(s) OVER (PARTITION BY h.wiki_db, page_title) END AS page_age,
+event_user_is_anonymous AS user_is_anonymous, o.revision_text_bytes, revision_text_bytes_diff, event_comment IS NOT NULL AS has_comment,
+round(o.quality_score, 6) AS quality_score, round(p.quality_score, 6) AS parent_quality_score, round(o.quality_score - p.quality_score, 6) AS quality_change,
+{_RANGE.format('o')} - {_RANGE.format('p')} AS quality_change_range, {_RANGE.format('o')} AS quality_range,
+{', '.join(f'o.{c}, p.{c} AS parent_{c}' for c in _COUNTS)}
+FROM (SELECT *, epoch_us(event_timestamp) // 1000000 AS s FROM history) h LEFT JOIN content o ON o.revision_id = h.revision_id AND o.wiki_db = h.wiki_db
+LEFT JOIN content p ON p.revision_id = h.revision_parent_id AND p.wiki_db = h.wiki_db"""
+
+
+@query(EDIT_FEATURES_SQL)
+def edit_features(t: Tables):
+    rows = EF.edit_features(t.history, t.content)
+    return rows.select(*S.KEYS, *[R6(c, c) if "quality_" in c and "range" not in c else F.col(c) for c in S.EXTRA_FEATURES])
+
+
+_STRUCT = "user_groups string, has_comment boolean, user_is_anonymous boolean, quality_score double, parent_quality_score double, quality_change double"
+_LONGS = [c for c in S.EXTRA_FEATURES if c not in _STRUCT.replace(",", "").split()]
+
+
+@query(f"""WITH f AS ({EDIT_FEATURES_SQL}) SELECT h.revision_id, h.wiki_db, {', '.join(f'f.{c}' for c in S.EXTRA_FEATURES)}
+FROM history h LEFT JOIN f ON f.revision_id = h.revision_id AND f.wiki_db = h.wiki_db AND f.page_age IS NOT NULL""")
 def expand_struct(t: Tables):
-    features = t.history.where(F.col(ID) % 4 != 0).select(
-        ID, F.to_json(F.struct(F.col("user_id").alias("user_age"), F.col("revision_text_bytes_diff").alias("revision_text_bytes"))).alias("raw")
-    )
-    parsed = features.select(ID, F.from_json("raw", "user_age long, revision_text_bytes long").alias("features"))
-    return t.history.select(ID).join(parsed, ID, "left").select(ID, "features.*")
+    """Features stored as one nested value per revision of a known page; other revisions have none of them."""
+    stored = EF.edit_features(t.history, t.content).where("page_age IS NOT NULL")
+    raw = stored.select(*S.KEYS, F.to_json(F.struct(*S.EXTRA_FEATURES)).alias("raw"))
+    parsed = raw.select(*S.KEYS, F.from_json("raw", ", ".join([_STRUCT, *(f"{c} long" for c in _LONGS)])).alias("features"))
+    wide = t.history.select(*S.KEYS).join(parsed, S.KEYS, "left").select(*S.KEYS, "features.*")
+    return wide.select(*S.KEYS, *[R6(c, c) if "quality_" in c and "range" not in c else F.col(c) for c in S.EXTRA_FEATURES])
 
 
 # --- joins --------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editlens import schema as S
+from editlens.operators import edit_features
 from editlens.operators.joins import unpivot_scores
 
 # column → expression, or (Spark expression, DuckDB expression) where the dialects differ
@@ -158,6 +159,12 @@ _HTML = " UNION ALL ".join(
     for kind, pattern in HTML_PATTERNS.items()
 )
 
+def _own_prefixes(kind: str) -> str:
+    return ", ".join(f"'{lang}:{alias.lower()}'" for lang, alias, of in LINK_ALIASES if of == kind)
+
+
+_KNOWN = f"'category', 'file', 'image', 'media', {_own_prefixes('Category')}, {_own_prefixes('Media')}"
+
 # name → (SQL, names of the views it uses)
 VIEWS = {
     "history": _duckdb(HISTORY, "events"),
@@ -165,6 +172,17 @@ VIEWS = {
     "pairs": _duckdb(PAIRS, "documents"),
     "markup_pages": _duckdb(MARKUP_PAGES, "documents"),
     "markup": _duckdb(MARKUP, "markup_pages"),
+    "page_counts": f"""SELECT revision_id AS page, octet_length(encode(parent_text)) AS revision_text_bytes, length(parent_text) AS text_length,
+      len(string_split(parent_text, '<ref')) - 1 AS reference_count, len(list_filter(links, lambda k: k NOT IN ({_KNOWN}))) AS wikilink_count,
+      len(list_filter(links, lambda k: k IN ('category', {_own_prefixes('Category')}))) AS category_count,
+      len(list_filter(links, lambda k: k IN ('file', 'image', 'media', {_own_prefixes('Media')}))) AS media_count,
+      len(list_filter(string_split(parent_text, chr(10)), lambda v: regexp_matches(v, '^=+[^=]+='))) AS heading_count
+      FROM (SELECT *, list_transform(string_split(parent_text, '[[')[2:], lambda v: CASE WHEN contains(split_part(v, ']]', 1), ':')
+        THEN concat(CASE WHEN list_contains(['category', 'file', 'image', 'media'], lower(split_part(v, ':', 1))) THEN '' ELSE concat(left(wiki_db, 2), ':') END, lower(split_part(v, ':', 1))) ELSE '' END) AS links
+      FROM markup_pages WHERE parent_text IS NOT NULL)""",
+    "content": "SELECT h.revision_id, h.wiki_db, c.*, (least(text_length / 10000, 1) + least(reference_count / 10, 1) + least(wikilink_count / 20, 1) "
+               "+ least(category_count / 5, 1) + least(media_count / 3, 1) + least(heading_count / 5, 1)) / 6 AS quality_score "
+               "FROM history h JOIN page_counts c ON c.page = h.revision_id % (SELECT count(*) FROM documents) + 1",
     "wikitext": "SELECT 2 * revision_id AS revision_id, wiki_db, revision_text FROM pairs "
                 "UNION ALL SELECT 2 * revision_id - 1, wiki_db, parent_text FROM pairs WHERE revision_id % 10 <> 7",
     "edits": _duckdb(EDITS, "conversations"),
@@ -219,6 +237,14 @@ class Tables:
         """Link prefixes per language."""
         return self.spark.createDataFrame(LINK_ALIASES, "lang string, alias string, type string")
 
+    @cached_property
+    def content(self) -> DataFrame:
+        """Counts of the text of every revision of the history: the documents in turn, as pages of wikitext."""
+        pages = edit_features.content_counts(self.markup, "parent_text", aliases=self.link_aliases).drop(S.WIKI)
+        numbered = pages.withColumnRenamed(S.ID, "__page")
+        total = F.broadcast(self.table("documents").agg(F.count("*").alias("__all")))  # one row
+        return self.history.select(*S.KEYS).join(total).withColumn("__page", F.pmod(S.ID, "__all") + 1).join(numbered, "__page").drop("__page", "__all")
+
     @cached_property
     def edits(self) -> DataFrame:
         return self.table("conversations").selectExpr(*_spark(EDITS))

@@ -9,7 +9,7 @@ from editlens.checks.fixtures import FRAGMENT_SCORES, Tables
 from editlens.checks.registry import query
 from editlens.models import classifier as C
 from editlens.models import text_scorer as TS
-from editlens.operators import fragments as Fr, metrics as M, revisions as R, slices as Sl
+from editlens.operators import edit_features as EF, fragments as Fr, metrics as M, revisions as R, slices as Sl
 from editlens.session import work_path
 
 ID, WIKI, LABEL = S.ID, S.WIKI, S.LABEL
@@ -139,14 +139,11 @@ def meta_model_reduced(t: Tables):
 @query()
 def meta_model_full(t: Tables):
     rows = R.filter_scored(_training_rows(t), ["incumbent_pred"])
-    extra = rows.where(F.col(ID) % 5 != 0).select(
-        ID, F.col("user_id").alias("user_age"), F.length("event_comment").alias("text_length"),
-        F.col("event_comment").isNotNull().alias("has_comment"),
-    )
-    widened = R.drop_incomplete(rows, extra, [ID], ["user_age"])
-    added = [c for c in S.EXTRA_FEATURES if c in ("user_age", "text_length", "has_comment")]
+    extra = EF.edit_features(t.history, t.content)
+    widened = R.drop_incomplete(rows, extra, S.KEYS, ["user_groups"])
+    flags = ["has_comment", "user_is_anonymous", "user_groups"]
     scored = C.meta_model(
-        widened, FEATURES, ["boosted_pred", "linear_pred"], added, [*CATEGORICAL, "has_comment"], settings=SMALL, **META_DAYS
+        widened, FEATURES, ["boosted_pred", "linear_pred"], S.EXTRA_FEATURES, [*CATEGORICAL, *flags], settings=SMALL, **META_DAYS
     )
     return _compared(scored)
 

@@ -103,7 +103,7 @@ def _link_type(value: Column, types: Column) -> Column:
     return F.coalesce(F.element_at(types, link_prefix(value)), F.lit("Wikilink"))
 
 
-def _values_of(kind: str, elements: Column, types: Column) -> Column:
+def values_of(kind: str, elements: Column, types: Column) -> Column:
     """Values of one bracketed type, in order of place."""
     if kind in ("Category", "Media", "Wikilink"):
         wanted = F.filter(elements, lambda e: (e["type"] == "Link") & (_link_type(e["value"], types) == kind))
@@ -126,7 +126,7 @@ def extract_elements(
     scanned = with_link_types(df.select(*keys, text, bracketed_elements(F.col(text)).alias("__found")), aliases, "__types")
     per_type = [
         F.transform(
-            _values_of(kind, F.col("__found"), F.col("__types")),
+            values_of(kind, F.col("__found"), F.col("__types")),
             lambda v, i: F.struct(F.lit(kind).alias("type"), i.alias("place"), v.alias("value")),  # noqa: B023
         )
         for kind in BRACKETED
@@ -139,7 +139,7 @@ def extract_categories(
 ) -> DataFrame:
     """Per row the names of its category links, in order, by the prefixes of its language."""
     scanned = with_link_types(df.select(*keys, text, bracketed_elements(F.col(text)).alias("__found")), aliases, "__types")
-    links = _values_of("Category", F.col("__found"), F.col("__types"))
+    links = values_of("Category", F.col("__found"), F.col("__types"))
     inner = F.transform(links, lambda v: F.replace(F.regexp_extract(v, r"(?s)^\[\[[^:]*:(.*)\]\]$", 1), F.lit(","), F.lit("")))
     return scanned.select(*keys, inner.alias("categories"))
 
@@ -183,7 +183,7 @@ def _met_elements(
     if patterns is None:
         changed = with_link_types(changed if found else scan_brackets(changed, parent, current), aliases, "__types")
         kinds += [
-            F.struct(F.lit(kind).alias("type"), *[_values_of(kind, F.col(f"{n}_found"), F.col("__types")).alias(n) for n in texts])
+            F.struct(F.lit(kind).alias("type"), *[values_of(kind, F.col(f"{n}_found"), F.col("__types")).alias(n) for n in texts])
             for kind in BRACKETED
         ]
     per_type = (changed if dealt else changed.repartition(*keys)).select(*keys, F.inline(F.array(*kinds))).where((F.size("__old") > 0) | (F.size("__new") > 0))
@@ -269,7 +269,7 @@ def node_texts(
         changed = with_link_types(changed.withColumns({f"__{n}": bracketed_elements(text) for n, text in sides.items()}), aliases, "__types")
         found += [
             F.transform(
-                _values_of(kind, F.col(f"__{side}"), F.col("__types")),
+                values_of(kind, F.col(f"__{side}"), F.col("__types")),
                 lambda v, i: F.struct(F.lit(kind).alias("type"), F.lit(side).alias("side"), i.alias("place"), v.alias("value")),  # noqa: B023
             )
             for kind in scanned for side in sides
