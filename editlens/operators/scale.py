@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PER_OCTAVE = 512
+#: Ranges of values in a running total: as many as there are shuffle partitions, within these bounds.
+LEAST_RANGES, MOST_RANGES = 64, 4096
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -28,6 +30,23 @@ def value_bucket(value: Column) -> Column:
     )
 
 
+def _with_range(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the number of the range of a value; ranges hold about equally many rows of `df`, whatever the values look like.
+
+    The bounds come from a quantile sketch that tasks merge, as a subquery of the same job. A value is looked for among
+    every so many bounds first, then between two of them. Null is lowest, NaN highest.
+    """
+    n = min(max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_RANGES)
+    step = max(1, round(n**0.5))
+    sketch = df.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 4 * n).alias("b"))
+    bounds = sketch.select(F.struct("b", F.filter("b", lambda _, i: i % step == 0).alias("first")).alias("__bounds")).scalar()
+    below = lambda array: F.size(F.filter(array, lambda bound: bound < value))
+    whole = F.greatest(below(F.col("__bounds.first")) - 1, F.lit(0)) * step
+    place = whole + below(F.slice(F.col("__bounds.b"), whole + 1, F.lit(step)))
+    number = F.when(value.isNull(), F.lit(-1)).otherwise(F.coalesce(place, F.lit(0)))
+    return df.withColumn("__bounds", bounds).withColumn(name, number).drop("__bounds")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,11 +58,12 @@ def running(
     """Running totals and maxima along `order` within each key, plus totals per key.
 
     `df` has one row per (keys, order). Adds `run_<c>` (this row included), and `all_<c>` for sums. Values fall into
-    buckets: running totals over the bucket totals, then within each bucket, so that no task sees a whole group.
+    ranges of like row counts: running totals over the ranges' totals, then within each range, so that no task sees a whole
+    group, and a narrow span of values (a year of timestamps, say) is cut as finely as a wide one.
     """
     keys = list(keys)
     by = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    cut = df.withColumn("__bucket", value_bucket(F.col(order)))
+    cut = _with_range(df, F.col(order).cast("double"), "__bucket")
     bucket_keys = [*keys, "__bucket"]
     totals = cut.groupBy(*bucket_keys).agg(
         *[F.sum(c).alias(f"__t_{c}") for c in sums], *[F.max(c).alias(f"__t_{c}") for c in maxes]

@@ -133,3 +133,20 @@ def test_null_group_is_a_group(spark):
     df = spark.createDataFrame([(i, None if i < 5 else "a") for i in range(20)], "id long, grp string")
     counts = {r["grp"]: r["count"] for r in Sa.sample_cap(df, 3, ["grp"], ["id"]).groupBy("grp").count().collect()}
     assert counts == {None: 3, "a": 3}
+
+
+def test_ranges_of_a_year_of_seconds_are_even(spark):
+    start = 1_640_995_200
+    df = spark.range(20_000).select((F.lit(start) + F.col("id") * 1577).alias("v"), F.lit(1).alias("n"))
+    df = df.unionByName(spark.createDataFrame([(None, 1)], "v long, n int"))
+    sizes = [r["count"] for r in scale._with_range(df, F.col("v").cast("double"), "b").groupBy("b").count().collect()]
+    assert len(sizes) >= scale.LEAST_RANGES and max(sizes) < 2 * 20_000 / scale.LEAST_RANGES
+
+
+def test_ranges_rise_with_values(spark):
+    values = [None, float("-inf"), -1e300, -3.5, -0.0, 0.0, 5e-324, 0.3, 0.5, 0.5, 7.0, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r["b"] for r in scale._with_range(df, F.col("v"), "b").orderBy("i").collect()]
+    assert got == sorted(got) and len(set(got)) > 8
+    assert scale._with_range(df.limit(0), F.col("v"), "b").count() == 0
+    assert [r["b"] for r in scale._with_range(df.where("v IS NULL"), F.col("v"), "b").collect()] == [-1]
