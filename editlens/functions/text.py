@@ -1,6 +1,7 @@
 """Text functions: sentences, lines, similarity, category links, interop decoding."""
 
 import ast
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -137,11 +138,45 @@ def decode_strings(text: Column) -> Column:
     return F.coalesce(native, _string_lists(F.when(awkward, text)))
 
 
+# A quoted string with its escapes, what stands between strings and round brackets, or one of those signs alone.
+_PIECES = r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"()]++|[()'"]"""
+# Escapes that mean something else in JSON or nothing there, commas before an end, strings side by side.
+_NOT_JSON = r"""(?s)\\[^\\'"ntrbf]|,\s*[)\]]|['"]\s*['"]"""
+_MOST_ESCAPES = 1000
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once per row, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pairs_as_json(literal: Column) -> Column:
+    """A literal that is a list of flat pairs in plain quoting, with square brackets only; null if Python has to look at it."""
+    escapes = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\\"), F.lit("")))
+    pieces = lambda t: F.regexp_extract_all(
+        F.when((escapes(t) <= _MOST_ESCAPES) & ~t.rlike(_NOT_JSON), t), F.lit(_PIECES), F.lit(0)
+    )
+    signs = lambda p: F.filter(p, lambda x: (F.length(x) == 1) | ~F.left(x, F.lit(1)).isin("'", '"'))
+    brackets = lambda outside: F.regexp_replace(outside, r"[^()\[\]]", "")
+    flat = lambda shape: shape.isin("[]", "()") | F.regexp_replace(shape, r"\(\)|\[\]", "").isin("[]", "()")
+    plain = lambda p: _once(
+        F.array_join(signs(p), ""), lambda outside: _once(brackets(outside), flat) & ~outside.rlike(r"[^\s,()\[\]]")
+    )
+    square = lambda p: F.array_join(F.transform(p, lambda x: F.when(x == "(", "[").when(x == ")", "]").otherwise(x)), "")
+    return _once(literal, lambda t: _once(pieces(t), lambda p: F.when(plain(p), square(p))))
+
+
 def decode_pairs(text: Column) -> Column:
-    """List of (before, after) tuples written as a Python literal → array of structs. Bad text → null."""
-    return F.transform(
-        _pair_lists(text), lambda p: F.struct(p[0].alias("before"), p[1].alias("after"))
-    ).cast(CHANGE_PAIRS)
+    """List of (before, after) tuples written as a Python literal → array of structs. Bad text → null.
+
+    Round brackets outside of quotes become square ones, and the rest is read natively as JSON with single quotes; only
+    text that JSON would read differently goes to Python.
+    """
+    json = _pairs_as_json(text)
+    read = F.from_json(json, "array<array<string>>", _JSON_OPTIONS)
+    native = _once(read, lambda pairs: F.when(F.forall(pairs, lambda p: F.size(p) == 2), pairs))
+    pairs = F.coalesce(_pair_lists(F.when(json.isNull(), text)), native)  # either is null where the other reads
+    return F.transform(pairs, lambda p: F.struct(p[0].alias("before"), p[1].alias("after"))).cast(CHANGE_PAIRS)
 
 
 def decode_counts(text: Column) -> Column:
