@@ -1,8 +1,9 @@
 """Exact, repeatable samples and splits.
 
-All of them order keys by a seeded hash and keep the first n of each group. The n-th hash is found without sorting
-a group in one task: count keys per hash prefix, find the prefix where the quota ends, and rank only that prefix.
-The sample itself is then a plain filter `hash <= limit`, with no shuffle of the rows. Keys must be unique per group.
+All of them order keys by a seeded hash and keep the first n of each group. Hashes are even, so the n-th of them is within a
+few times √n places of n / size: after the groups are counted (which reads no keys), one pass over the keys counts what lies
+below that stretch and takes the hashes within it, and the n-th is found among those. The sample itself is then a plain filter
+`hash <= limit`, with no shuffle of the rows. Keys must be unique per group.
 """
 
 from collections.abc import Sequence
@@ -16,72 +17,65 @@ from editlens.functions.hashing import hash_order, hash_uniform
 from editlens.operators.scale import null_safe_join
 
 PREFIX = 3  # hex digits: 4,096 prefixes per group
+WIDTH = 10.0  # standard deviations on either side of the expected place of the last key
 EVERYTHING = "g"  # sorts after every hex digest
 GROUP_SIZE = "__size"
+_DIGITS = 13  # hex digits of a bound: 52 bits, as many as a double holds
 
 
 def hash_limits(
-    df: DataFrame, groups: Sequence[str], keys: Sequence[str], quota: Column, seed: int = S.SEED, prefix: int = PREFIX
+    df: DataFrame, groups: Sequence[str], keys: Sequence[str], quota: Column, seed: int = S.SEED, prefix: int = PREFIX,
+    width: float = WIDTH,
 ) -> DataFrame:
     """Per group the hash of its last sampled key, `__limit`.
 
     `quota` is the number of keys to take, an expression of the group columns, GROUP_SIZE, and window sums of `__n`
-    (keys per group and prefix) over a part of the group columns.
+    (keys per group) over a part of the group columns.
+
+    One key in 10²³ samples would lie outside the stretch that is looked at. Keys outside it are counted per hash prefix
+    as well; if the quota ends there (keys repeat very often, against the rule), the sample goes on to the end of that prefix.
     """
     groups = list(groups)
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    hashed = df.select(*groups, hash_order(*keys, seed=seed).alias("__hash"))
-    hashed = hashed.withColumn("__prefix", F.substring("__hash", 1, prefix))
-
-    counts = hashed.groupBy(*groups, "__prefix").agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(whole.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    path = counts.withColumns({"__upto": upto, GROUP_SIZE: F.sum("__n").over(whole)})
-    path = path.withColumn("__quota", quota.cast("long"))
-    ends_here = (
-        (F.col("__quota") < F.col(GROUP_SIZE))
-        & (F.col("__upto") >= F.col("__quota")) & (F.col("__upto") - F.col("__n") < F.col("__quota"))
-    )
-    plan = path.groupBy(*groups).agg(
-        F.max(F.col("__quota") >= F.col(GROUP_SIZE)).alias("__all"),
-        F.max(F.when(ends_here, F.col("__prefix"))).alias("__edge"),
-        F.max(F.when(ends_here, F.col("__quota") - F.col("__upto") + F.col("__n"))).alias("__rest"),
-    )
-
-    near = _by_group(hashed, plan, groups).where(F.col("__prefix") == F.col("__edge")).drop("__prefix")
-    near = _narrowed(near, groups, prefix, whole)
-    rank = F.row_number().over(whole.orderBy("__hash"))
-    last = near.withColumn("__rank", rank).where(F.col("__rank") == F.col("__rest"))
-    plain = plan.where(F.col("__edge").isNull()).select(
-        *groups, F.when(F.col("__all"), F.lit(EVERYTHING)).otherwise(F.lit("")).alias("__limit")
-    )
-    return last.select(*groups, F.col("__hash").alias("__limit")).unionByName(plain)
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")).withColumn(GROUP_SIZE, F.col("__n"))
+    sizes = sizes.withColumn("__quota", F.coalesce(quota.cast("long"), F.lit(0))).drop("__n")
+    partial = (F.col("__quota") > 0) & (F.col("__quota") < F.col(GROUP_SIZE))
+    whole = F.when(F.col("__quota") >= F.col(GROUP_SIZE), F.lit(EVERYTHING)).otherwise(F.lit(""))
 
-
-def _narrowed(near: DataFrame, groups: list[str], prefix: int, whole) -> DataFrame:
-    """Cuts the rows where a quota ends down once more, by the next hex digits, and what is left of the quota with them.
-
-    What remains to be ranked is one part in 16 million of a group.
-    """
-    near = near.withColumn("__prefix", F.substring("__hash", prefix + 1, PREFIX))
-    counts = near.groupBy(*groups, "__prefix", "__rest").agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(whole.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    path = counts.withColumn("__upto", upto)
-    ends = path.where((F.col("__upto") >= F.col("__rest")) & (F.col("__upto") - F.col("__n") < F.col("__rest"))).select(
-        *groups, F.col("__prefix").alias("__edge"), (F.col("__rest") - F.col("__upto") + F.col("__n")).alias("__rest")
+    hashed = df.select(*groups, hash_order(*keys, seed=seed).alias("__hash"))
+    near = _by_group(hashed, _stretch(sizes.where(partial), width), groups).where(F.col("__low").isNotNull())
+    start = F.substring("__hash", 1, prefix)
+    cell = F.when(F.col("__hash") < F.col("__low"), start).when(F.col("__hash") <= F.col("__high"), F.col("__hash")).otherwise(
+        F.concat(start, F.lit(EVERYTHING))
     )
-    rows = near.select(*groups, "__hash", "__prefix")
-    return _by_group(rows, ends, groups).where(F.col("__prefix") == F.col("__edge"))
-
-
-def _by_group(left: DataFrame, right: DataFrame, groups: Sequence[str], how: str = "inner") -> DataFrame:
-    """Adds the columns of a frame with one row per group; without groups, of its only row, as constants."""
+    counts = near.groupBy(*groups, "__low", "__quota", cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
+    in_order = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("__cell")
+    upto = F.sum("__n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = counts.withColumn("__upto", upto).where("__upto >= __quota AND __upto - __n < __quota")
+    limit = F.when(
+        F.col("__cell") < F.col("__low"), F.least(F.concat("__cell", F.lit(EVERYTHING)), F.col("__low"))
+    ).otherwise(F.col("__cell"))
+    return last.select(*groups, limit.alias("__limit")).unionByName(sizes.where(~partial).select(*groups, whole.alias("__limit")))
+
+
+def _stretch(sizes: DataFrame, width: float) -> DataFrame:
+    """Adds the bounds `__low` and `__high` between which the last key of a group lies, as starts of hashes."""
+    size, quota = F.greatest(F.col(GROUP_SIZE), F.lit(1)).cast("double"), F.col("__quota").cast("double")
+    share = quota / size
+    reach = (F.lit(width) * F.sqrt(quota * F.greatest(1 - share, F.lit(0.0))) + F.lit(width)) / size
+    digits = lambda x: F.lpad(F.lower(F.hex((x * F.lit(float(16**_DIGITS))).cast("long"))), _DIGITS, "0")
+    return sizes.withColumns({
+        "__low": digits(F.greatest(share - reach, F.lit(0.0))),
+        "__high": F.when(share + reach >= 1, F.lit(EVERYTHING)).otherwise(digits(share + reach)),
+    }).drop(GROUP_SIZE)
+
+
+def _by_group(left: DataFrame, right: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Adds the columns of a frame with one row per group; without groups, of its only row (null if there is none)."""
     if groups:
-        return null_safe_join(left, right, groups, how)
-    row = right.first()
-    return left.withColumns({
-        f.name: F.lit(row[f.name] if row else None).cast(f.dataType)
-        for f in right.schema if f.name not in left.columns
-    })
+        return null_safe_join(left, right, groups, "inner")
+    names = [c for c in right.columns if c not in left.columns]
+    row = right.select(F.struct(*names).alias("row")).scalar()
+    return left.withColumn("__only", row).withColumns({c: F.col("__only")[c] for c in names}).drop("__only")
 
 
 def sampled(
@@ -92,9 +86,10 @@ def sampled(
     seed: int = S.SEED,
     source: DataFrame | None = None,
     prefix: int = PREFIX,
+    width: float = WIDTH,
 ) -> tuple[DataFrame, Column]:
     """The frame with its group limits attached, and the condition "this row is in the sample"."""
-    limits = hash_limits(df if source is None else source, groups, keys, quota, seed, prefix)
+    limits = hash_limits(df if source is None else source, groups, keys, quota, seed, prefix, width)
     joined = _by_group(df, limits, list(groups))
     return joined, hash_order(*keys, seed=seed) <= F.col("__limit")
 
