@@ -4,7 +4,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from editlens import schema as S
 from editlens.operators.aggregates import class_weights
+from editlens.operators.joins import unpivot_scores
 from editlens.operators.revisions import fill_missing_features
 from editlens.operators.sampling import split_by_day, split_stratified
 from editlens.operators.slices import eval_metric_set
 from editlens.session import materialize
 
+BALANCED = "is_balanced"
+
 
 @dataclass(frozen=True)
 class TrainingSettings:
@@ -40,14 +43,20 @@ def _index_name(name: str) -> str:
     return f"__i_{name}"
 
 
-def assembler_stages(features: Sequence[str], categorical: Sequence[str]) -> list:
-    """Stages that turn feature columns into one vector; unseen categories get an index of their own."""
+def _indexer(features: Sequence[str], categorical: Sequence[str]) -> list[StringIndexer]:
+    """The stage that numbers categories, none without any; unseen categories get a number of their own."""
     cats = [c for c in features if c in categorical]
-    stages = []
-    if cats:
-        stages.append(StringIndexer(inputCols=cats, outputCols=[_index_name(c) for c in cats], handleInvalid="keep"))
-    inputs = [_index_name(c) if c in cats else c for c in features]
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")]
+    return [StringIndexer(inputCols=cats, outputCols=[_index_name(c) for c in cats], handleInvalid="keep")] if cats else []
+
+
+def _assembler(features: Sequence[str], categorical: Sequence[str]) -> VectorAssembler:
+    inputs = [_index_name(c) if c in categorical else c for c in features]
+    return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
+
+
+def assembler_stages(features: Sequence[str], categorical: Sequence[str]) -> list:
+    """Stages that turn feature columns into one vector."""
+    return [*_indexer(features, categorical), _assembler(features, categorical)]
 
 
 def assemble_features(
@@ -68,9 +77,32 @@ def _weighted(df: DataFrame, label: str, balance: bool) -> DataFrame:
     return df.withColumn("__weight", weight)
 
 
-def _bins(fitted: PipelineModel, least: int) -> int:
+def _bins(indexers: Sequence[StringIndexerModel], features: Sequence[str], least: int) -> int:
     """Enough bins for the category with the most values, the one for unseen values included."""
-    return max([least, *(len(values) + 1 for stage in fitted.stages if isinstance(stage, StringIndexerModel) for values in stage.labelsArray)])
+    sizes = [len(v) + 1 for stage in indexers for c, v in zip(stage.getInputCols(), stage.labelsArray) if c in features]
+    return max([least, *sizes])
+
+
+def _training_rows(df: DataFrame, features: Sequence[str], label: str, settings: TrainingSettings, part: str | None) -> DataFrame:
+    """Filled features of the training rows with `__label`, `__held_out` (decides when to stop) and `__weight`.
+
+    Training passes over its rows many times, so they are written once, evenly spread, and read from there.
+    """
+    names = [f"`{c}`" for c in features]
+    keys = [c for c in settings.keys if c not in features]
+    mine = df if part is None else df.where(F.col(part) == "train").drop(part)
+    wanted = mine.where(F.col(label).isNotNull()).select(*names, *keys, F.col(label).cast("int").alias("__label"))
+    rows = materialize(fill_missing_features(wanted, features).repartition(*settings.keys), "training")
+    rows = split_stratified(rows, settings.stop_share, "__label", settings.keys, settings.seed)
+    used = rows.select(*names, "__label", (F.col("part") == "test").alias("__held_out"))
+    return _weighted(used, "__label", settings.balance_classes)
+
+
+def _fit_trees(assembled: DataFrame, bins: int, settings: TrainingSettings) -> GBTClassificationModel:
+    return GBTClassifier(
+        labelCol="__label", featuresCol="features", weightCol="__weight", validationIndicatorCol="__held_out",
+        maxIter=settings.rounds, stepSize=settings.step, maxDepth=settings.depth, maxBins=bins, seed=settings.seed,
+    ).fit(assembled)
 
 
 def train_classifier(
@@ -84,23 +116,11 @@ def train_classifier(
     """Fits class-weighted boosted trees on the rows whose `part` is train (all rows without `part`).
 
     A stratified share of those rows decides when to stop; weights come from the others. Test rows are not seen at all.
-    Training passes over its rows many times, so they are written once, evenly spread, and read from there.
     """
-    names = [f"`{c}`" for c in features]
-    keys = [c for c in settings.keys if c not in features]
-    mine = df if part is None else df.where(F.col(part) == "train").drop(part)
-    wanted = mine.where(F.col(label).isNotNull()).select(*names, *keys, F.col(label).cast("int").alias("__label"))
-    rows = materialize(fill_missing_features(wanted, features).repartition(*settings.keys), "training")
-    rows = split_stratified(rows, settings.stop_share, "__label", settings.keys, settings.seed)
-    used = rows.select(*names, "__label", (F.col("part") == "test").alias("__held_out"))
-    weighted = _weighted(used, "__label", settings.balance_classes)
-    assembled = Pipeline(stages=assembler_stages(features, categorical)).fit(weighted)
-    trees = GBTClassifier(
-        labelCol="__label", featuresCol="features", weightCol="__weight", validationIndicatorCol="__held_out",
-        maxIter=settings.rounds, stepSize=settings.step, maxDepth=settings.depth, maxBins=_bins(assembled, settings.bins),
-        seed=settings.seed,
-    )
-    return PipelineModel([*assembled.stages, trees.fit(assembled.transform(weighted))])
+    rows = _training_rows(df, features, label, settings, part)
+    stages = Pipeline(stages=assembler_stages(features, categorical)).fit(rows).stages
+    bins = _bins([s for s in stages if isinstance(s, StringIndexerModel)], features, settings.bins)
+    return PipelineModel([*stages, _fit_trees(PipelineModel(stages).transform(rows), bins, settings)])
 
 
 def train_and_test(
@@ -152,17 +172,25 @@ def feature_set_ablation(
     label: str = S.LABEL,
     settings: TrainingSettings = TrainingSettings(),
 ) -> DataFrame:
-    """One model per named feature set; its metrics on full and balanced test rows, in total and per wiki."""
-    tables = []
-    for name, features in feature_sets.items():
-        model = train_classifier(train, features, categorical, label, settings)
-        scored = predict_scores(model, test, features)
-        metrics = eval_metric_set(scored, label, "predict_score")
-        tables.append(metrics.select(F.lit(name).alias("feature_set"), "*"))
-    union = tables[0]
-    for table in tables[1:]:
-        union = union.unionByName(table)
-    return union
+    """One model per named feature set; its metrics on full and balanced test rows, in total and per wiki.
+
+    Rows are split, weighted and indexed once for all sets; the test rows get a score per set and are evaluated together.
+    """
+    every = list(dict.fromkeys(c for features in feature_sets.values() for c in features))
+    rows = _training_rows(train, every, label, settings, None)
+    index = PipelineModel([stage.fit(rows) for stage in _indexer(every, categorical)])
+    rows = materialize(index.transform(rows), "indexed")
+    kept = F.struct(*[c for c in dict.fromkeys([label, BALANCED, S.WIKI])])
+    scored = index.transform(fill_missing_features(test.select(kept.alias("__row"), *[f"`{c}`" for c in every]), every))
+    names = {}
+    for i, (name, features) in enumerate(feature_sets.items()):
+        assembler = _assembler(features, categorical)
+        trees = _fit_trees(assembler.transform(rows), _bins(index.stages, features, settings.bins), settings)
+        scored = trees.transform(assembler.transform(scored)).withColumn(f"__s_{i}", vector_to_array("probability")[1])
+        scored = scored.drop("features", "rawPrediction", "probability", "prediction")
+        names[f"__s_{i}"] = name
+    long = unpivot_scores(scored.select("__row.*", *names), [label, BALANCED, S.WIKI], names).withColumnRenamed("model", "feature_set")
+    return eval_metric_set(long, label, "score", BALANCED, ["feature_set"])
 
 
 def meta_model(

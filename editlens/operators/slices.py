@@ -118,13 +118,16 @@ def model_leaderboard(
 
 
 def eval_metric_set(
-    df: DataFrame, label: str = S.LABEL, score: str = "score", balanced: str = "is_balanced"
+    df: DataFrame, label: str = S.LABEL, score: str = "score", balanced: str = "is_balanced", within: Sequence[str] = ()
 ) -> DataFrame:
-    """Log loss, AUC, precision, recall, F1 and accuracy: all rows and balanced rows, in total and per wiki."""
-    keys = ["part", "scope"]
+    """Log loss, AUC, precision, recall, F1 and accuracy: all rows and balanced rows, in total and per wiki.
+
+    With `within` (columns), all of them for each value of those.
+    """
+    keys = [*within, "part", "scope"]
     parts = F.array_compact(F.array(F.lit("full"), F.when(F.col(balanced) == 1, F.lit("balanced"))))
-    rows = df.select(label, score, S.WIKI, F.explode(parts).alias("part"))
-    rows = rows.select(label, score, "part", F.explode(F.array(F.lit("all"), F.col(S.WIKI))).alias("scope"))
+    rows = df.select(*within, label, score, S.WIKI, F.explode(parts).alias("part"))
+    rows = rows.select(*within, label, score, "part", F.explode(F.array(F.lit("all"), F.col(S.WIKI))).alias("scope"))
     return M.metric_table(rows, keys, label, score).select(
         *keys, "n", "revert_rate", "log_loss", "auc", "precision", "recall", "f1", "accuracy"
     )
