@@ -71,7 +71,20 @@ def feature_list(t: Tables):
     return rows.select(ID, *[R6(c) if c.startswith("bert_") else F.col(f"`{c}`") for c in names])
 
 
-@query()
+def _vector_sql() -> str:
+    """Sum of the vector: numbers as they are, categories by falling count and then by name, from 0."""
+    names = S.feature_list()
+    cats = [c for c in names if c in S.CATEGORICAL_FEATURES]
+    filled = ", ".join(f"""coalesce("{c}", {"'-1'" if c == WIKI else -1}) AS "{c}\"""" for c in names)
+    counts = ", ".join(f'count(*) OVER (PARTITION BY "{c}") AS "n_{c}"' for c in cats)
+    places = [f'dense_rank() OVER (ORDER BY "n_{c}" DESC, CAST("{c}" AS VARCHAR)) - 1' for c in cats]
+    total = " + ".join([f'CAST("{c}" AS DOUBLE)' for c in names if c not in cats] + places)
+    rows = _feature_sql().replace("SELECT revision_id", f"SELECT {WIKI} AS wiki, revision_id", 1)
+    return f"""WITH f AS ({rows}), filled AS (SELECT revision_id, {filled} FROM f), counted AS (SELECT *, {counts} FROM filled)
+SELECT revision_id, {len(names)} AS width, round({total}, 6) AS total FROM counted""".replace(f"SELECT {WIKI} AS wiki, ", "SELECT ")
+
+
+@query(_vector_sql())
 def assemble_features(t: Tables):
     names = S.feature_list()
     rows = C.assemble_features(_full_features(t), names)
@@ -107,6 +120,52 @@ def save_load_model(t: Tables):
     return C.predict_scores(C.load_model(path), rows, FEATURES).select(*S.KEYS, "predict_score")
 
 
+# What any model must keep, against SQL: rows, the range of its scores, a least AUC on rows it has not seen.
+LATE = "dayofmonth(event_timestamp) >= 15"
+_TESTED = f"SELECT CAST(sum(ceil(n * CAST(0.1 AS DOUBLE))) AS BIGINT) AS n, true AS in_range, true AS good FROM (SELECT {LABEL}, count(*) AS n FROM history WHERE {LABEL} IS NOT NULL GROUP BY ALL)"
+
+
+def _kept(scored, least_auc: float):
+    in_range = scored.agg(F.coalesce(F.min(F.col("predict_score").between(0, 1)), F.lit(False)).alias("in_range"))
+    quality = M.metric_table(scored, [], score="predict_score").select("n", (F.col("auc") >= least_auc).alias("good"))
+    return quality.withColumn("in_range", in_range.scalar())
+
+
+@query(_TESTED)
+def train_classifier_kept(t: Tables):
+    _, scored = C.train_and_test(_training_rows(t), FEATURES, CATEGORICAL, settings=SMALL)
+    return _kept(scored, 0.9)
+
+
+@query(_TESTED)
+def train_classifier_default_settings(t: Tables):
+    """100 rounds of depth 6."""
+    _, scored = C.train_and_test(_training_rows(t), FEATURES, CATEGORICAL)
+    return _kept(scored, 0.9)
+
+
+@query(f"SELECT revision_id, wiki_db, true AS in_range FROM history WHERE {LATE}")
+def predict_scores_kept(t: Tables):
+    return predict_scores(t).select(*S.KEYS, F.col("predict_score").between(0, 1).alias("in_range"))
+
+
+@query("SELECT unnest([{}]) AS feature_name, true AS in_range, CAST(1 AS DOUBLE) AS total".format(", ".join(f"'{c}'" for c in FEATURES)))
+def feature_importance_kept(t: Tables):
+    rows = feature_importance(t)
+    total = rows.agg(F.round(F.sum("feature_importance"), 6)).scalar()
+    return rows.select("feature_name", F.col("feature_importance").between(0, 1).alias("in_range"), total.alias("total"))
+
+
+@query("SELECT revision_id, wiki_db, true AS same FROM history")
+def save_load_model_kept(t: Tables):
+    """A model read back gives the scores of the one that was written."""
+    rows, path = _training_rows(t), work_path(t.spark, "model")
+    model = C.train_classifier(rows, FEATURES, CATEGORICAL, settings=SMALL)
+    C.save_model(model, path)
+    both = C.predict_scores(model, rows, FEATURES).withColumnRenamed("predict_score", "__first")
+    return C.predict_scores(C.load_model(path), both, FEATURES).select(*S.KEYS, (F.col("predict_score") == F.col("__first")).alias("same"))
+
+
 @query()
 def feature_set_ablation(t: Tables):
     rows = _training_rows(t)
