@@ -8,7 +8,7 @@ from editlens.checks.fixtures import Tables
 from editlens.models import classifier as C
 from editlens.operators.revisions import flag_user_groups, rename_features
 from editlens.operators.joins import lookup_user_features
-from editlens.plans import collection, evaluation, features, preparation
+from editlens.plans import collection, evaluation, features, preparation, training
 from editlens.session import materialize
 
 FOLDER = "/root/testdata/sf0.001"
@@ -88,3 +88,14 @@ def test_unknown_category_is_scored(spark, tables):
     model = C.train_classifier(rows, [S.WIKI, "user_id"], settings=C.TrainingSettings(rounds=1, depth=2))
     other = rows.withColumn(S.WIKI, F.lit("xxwiki"))
     assert C.predict_scores(model, other, [S.WIKI, "user_id"]).where("predict_score is null").count() == 0
+
+
+def test_one_job_from_collected_rows_to_written_scores(spark, tables, collected, tmp_path):
+    path = str(tmp_path / "scores")
+    small = training.JobSettings("2024-01-21", 1 << 8, 2, C.TrainingSettings(rounds=2, depth=2))
+    _, scored = training.train_and_score(collected, flag_user_groups(tables.history), path, small)
+    _, test = preparation.train_and_test(collected, "2024-01-21")
+    assert scored.count() == test.count() == spark.read.parquet(path).count() > 0
+    assert scored.where("predict_score between 0 and 1").count() == test.count()
+    out = evaluation.evaluate(scored.withColumn("reference", F.lit(0.5)), {"predict_score": "ours", "reference": "reference"}, "reference")
+    assert {r["model"] for r in out["leaderboard"].collect()} == {"ours", "reference", "baseline"}
