@@ -89,3 +89,15 @@ def test_keys_are_hashed_twice_at_most(rows):
     for sample in (Sa.sample_cap(rows, 100, ["grp"], ["id"]), Sa.split_stratified(rows, 0.1, "label", ["id"])):
         plan = sample._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("md5(") <= 2
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_stratified_split_leaves_rows_in_place(spark, rows, threshold):
+    """Neither are the rows dealt by class, nor sent to every task; what is known of a class is."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        split = Sa.split_stratified(rows, 0.1, "label", ["id"])
+        plan = split._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BuildLeft" not in plan and plan.count("BroadcastHashJoin") == 2
