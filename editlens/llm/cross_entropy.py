@@ -26,6 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from editlens.session import materialize
 
@@ -230,11 +231,19 @@ class Hashes(dict):
         return ids[:-1], ids[1:], n
 
 
+@F.arrow_udf(T.BinaryType())
+def _shrunk(texts: pa.Array) -> pa.Array:
+    """Each text compressed by itself, for a shuffle: a third less than Spark's own compression leaves."""
+    z = zstandard.ZstdCompressor(level=1)
+    return pa.array([z.compress(t.as_py().encode()) if t.is_valid else None for t in texts], pa.binary())
+
+
 def _chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str | None]]]:
-    """The texts of a batch in chunks, each with the place of its first row."""
-    start, texts, chars = 0, [], 0
+    """The texts of a batch, plain or `_shrunk`, in chunks, each with the place of its first row."""
+    start, texts, chars, z = 0, [], 0, zstandard.ZstdDecompressor()
     for value in batch.column(column):
-        texts.append(value.as_py())
+        text = value.as_py()
+        texts.append(z.decompress(text).decode() if isinstance(text, bytes) else text)
         chars += len(texts[-1] or "")
         if chars > CHUNK_CHARS or len(texts) == CHUNK_DOCS:
             yield start, texts
@@ -436,7 +445,7 @@ def score_corpus(docs: DataFrame, targets: DataFrame, columns: list[str], bucket
         out = out.append_column("background_loss", pa.array(background, mask=blank))
         return out.append_column("score", pa.array(np.where(blank, 0.0, background - target)))
 
-    given = docs.select(*columns, docs["doc_id"].alias("__id"), docs["text"].alias("__text"))
+    given = docs.select(*columns, docs["doc_id"].alias("__id"), _shrunk(docs["text"]).alias("__text"))
     # labels grow with the documents, so the join shuffles both sides at any size
     known = marks.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__target")).hint("merge")
     texts = given.join(known, "__id", "left").select(*columns, "__text", "__target")

@@ -320,3 +320,12 @@ def test_no_labels_no_scores(awkward, empty, labelled):
     model = toxicity.learn(awkward, nothing)
     assert {r.score for r in toxicity.with_score(awkward, ["doc_id"], model).collect()} == {0.0}
     assert toxicity.with_score(empty, ["doc_id"], toxicity.learn(*labelled)).count() == 0
+
+
+def test_texts_of_cross_entropy_move_compressed(spark):
+    """Each text by itself, so that chunks can be read text by text; odd ones come back as they were."""
+    texts = ["one two " * 500, "", None, "né 😀 \x00", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select(cross_entropy._shrunk(docs["text"]).alias("t")).toArrow().to_batches()
+    assert [t for b in rows for _, found in cross_entropy._chunks(b, "t") for t in found] == texts
+    assert max(len(t.as_py() or b"") for b in rows for t in b.column("t")) < 100
