@@ -79,7 +79,7 @@ def test_all_rounds_are_trained_and_kept_up_to_the_best(noisy, monkeypatch, tmp_
     assert scores[0].exceptAll(scores[1]).count() == 0
 
 
-@pytest.mark.parametrize("name, models", [("feature_set_ablation", 4)])
+@pytest.mark.parametrize("name, models", [("train_classifier", 1), ("feature_set_ablation", 4)])
 def test_queries_train_models_of_full_size(spark, monkeypatch, name, models):
     asked = []
 
